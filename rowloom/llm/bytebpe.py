@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import bound_batches
 from .textbytes import runs
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
@@ -166,6 +167,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
     tokens (the digests of nothing). Other columns of ``docs`` are not read.
     ``round_trip`` tells if the decoded bytes are the text. ``with_ids`` adds ``ids``.
     """
+    bound_batches(docs.sparkSession)
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold_of, sample
+from .session import bound_batches
 from .textbytes import runs
 
 CHUNK, STEP = 256, 240
@@ -157,6 +158,7 @@ def score_documents(docs: DataFrame, net: Network, threshold: float = THRESHOLD)
     Only doc_id and text are read. A null text counts as empty; an empty text is one
     chunk of padding. ``held_out`` is null for a null id.
     """
+    bound_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import bound_batches
 from .textbytes import runs
 
 SCHEMA = (
@@ -152,6 +153,7 @@ def quality_rules(docs: DataFrame, ranks: str, pattern: str, pieces: str, bands:
     row of ``docs``, null or repeated ids included. A null or empty text has no words:
     it fails the base rules. A null or unknown language takes the band of its script.
     """
+    bound_batches(docs.sparkSession)
     bands = BANDS if bands is None else bands
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     kinds = [*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.int64(), *[pa.float64()] * 3, pa.string()]

@@ -46,3 +46,14 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._rowloom_path)
             path.getFileSystem(conf).delete(path, True)
+
+
+#: Rows that Spark hands to a Python worker at once, so that a batch of long texts stays in memory.
+ROWS_AT_ONCE = 512
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch length to ``ROWS_AT_ONCE`` if it is longer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_AT_ONCE:
+        spark.conf.set(key, str(ROWS_AT_ONCE))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import sample
+from .session import bound_batches
 from .textbytes import SPACED_WORD, Run, ascii_fold, byte_class, find_words, runs
 
 #: Bounds of the labelled sample: rows and characters of a text.
@@ -197,6 +198,7 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
     predicted (0 or 1), rejected. Null or repeated ids stay; a null text counts as empty
     and has the models' biases. Only doc_id and text are read.
     """
+    bound_batches(docs.sparkSession)
     names = [f"p_{n}" for n in chain.names]
     schema = "doc_id long, " + ", ".join(f"{n} double" for n in names) + ", score double, predicted int, rejected boolean"
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import bound_batches
 from .textbytes import ALNUM_WORD, Run, Words, ascii_fold, find_words, grams, member, runs
 
 WINDOW = 10
@@ -180,6 +181,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     read. One row per row of ``docs``, null or repeated ids included. Null and empty
     texts have no words and are clean. Repeated items count once for an id.
     """
+    bound_batches(docs.sparkSession)
     if not 0 < gram <= window:
         raise ValueError("gram must lie in 1..window")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
