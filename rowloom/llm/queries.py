@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, bytecnn, fertility, minhash, toxicity, winnowing
+from . import bytebpe, bytecnn, fertility, linededup, minhash, secrets, toxicity, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(table(spark, sf_dir, "documents"), path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
 
 
+def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,6 +34,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -44,7 +52,7 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.score_documents(docs, bytecnn.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_tokeniser_fertility, op4_benchmark_decontamination, op7_minhash_near_dedup, op8_toxicity_chain, op9_byte_bpe, op10_byte_cnn)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_tokeniser_fertility, op3_secret_ownership, op4_benchmark_decontamination, op6_fuzzy_lines, op7_minhash_near_dedup, op8_toxicity_chain, op9_byte_bpe, op10_byte_cnn)}
 
 SQL_OP4 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -59,4 +67,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES: dict[str, str] = {"op4_benchmark_decontamination": SQL_OP4}
+SQL_OP3 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+m AS (SELECT r, 0 AS kind, regexp_extract_all(text, P0) AS whole, regexp_extract_all(text, P0, 2) AS val, string_split_regex(text, P0) AS pieces FROM d
+UNION ALL SELECT r, 1, regexp_extract_all(text, P1), regexp_extract_all(text, P1), string_split_regex(text, P1) FROM d
+UNION ALL SELECT r, 2, regexp_extract_all(text, P2), regexp_extract_all(text, P2), string_split_regex(text, P2) FROM d
+UNION ALL SELECT r, 3, regexp_extract_all(text, P3), regexp_extract_all(text, P3), string_split_regex(text, P3) FROM d),
+e AS (SELECT r, kind, unnest(range(1, len(whole) + 1)) AS i, unnest(whole) AS w, unnest(val) AS v, unnest(list_slice(pieces, 1, len(whole))) AS b FROM m WHERE len(whole) > 0),
+s AS (SELECT r, kind, v, length(w) AS n, sum(length(b) + length(w)) OVER (PARTITION BY r, kind ORDER BY i) AS stop FROM e),
+c AS (SELECT s.*, stop - n AS start, source FROM s JOIN d USING (r) WHERE kind = 0 AND length(v) >= 12 OR kind = 1 AND n >= 18 OR kind = 2 AND n >= 16 OR kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')),
+o AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS owners FROM c GROUP BY v),
+j AS (SELECT c.*, owners > 1 AS copied, owners <= 1 AND regexp_matches(v, '[0-9]') AND len(list_distinct(string_split(v, ''))) >= 8 AS live FROM c JOIN o USING (v)),
+k AS (SELECT *, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM j WHERE kind < 3 OR live),
+g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (copied) AS n_copied, count(*) FILTER (live) AS n_live,
+string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans FROM k GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN g USING (r)
+"""
+for _mark, _pattern in (
+    ("P0", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""),
+    ("P1", "AKIA[A-Z0-9]+"), ("P2", "[0-9a-f]+"), ("P3", "[A-Za-z0-9+/_=-]{20,}"),
+):
+    SQL_OP3 = SQL_OP3.replace(_mark, f"'{_pattern}'")
+
+ORACLES: dict[str, str] = {"op3_secret_ownership": SQL_OP3, "op4_benchmark_decontamination": SQL_OP4}
