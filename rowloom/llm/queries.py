@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, bytecnn, fertility, linededup, minhash, secrets, toxicity, winnowing
+from . import bytebpe, bytecnn, fertility, linededup, minhash, secrets, toxicity, warc, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark, table(spark, sf_dir, "pages")).drop("url")
+
+
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -52,7 +56,7 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.score_documents(docs, bytecnn.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_tokeniser_fertility, op3_secret_ownership, op4_benchmark_decontamination, op6_fuzzy_lines, op7_minhash_near_dedup, op8_toxicity_chain, op9_byte_bpe, op10_byte_cnn)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_tokeniser_fertility, op3_secret_ownership, op4_benchmark_decontamination, op5_warc_index, op6_fuzzy_lines, op7_minhash_near_dedup, op8_toxicity_chain, op9_byte_bpe, op10_byte_cnn)}
 
 SQL_OP4 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -90,4 +94,13 @@ for _mark, _pattern in (
 ):
     SQL_OP3 = SQL_OP3.replace(_mark, f"'{_pattern}'")
 
-ORACLES: dict[str, str] = {"op3_secret_ownership": SQL_OP3, "op4_benchmark_decontamination": SQL_OP4}
+SQL_OP5 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT html, max(page_id) AS chosen FROM p GROUP BY html),
+b AS (SELECT h, array_to_string(list_transform(string_split(h, ''), lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), '') AS bits FROM (SELECT DISTINCT h FROM p)),
+d AS (SELECT h, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS BIGINT), 1)), '') AS payload_digest FROM b)
+SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM chosen AND chosen IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN page_id IS DISTINCT FROM chosen THEN chosen END AS refers_to FROM p JOIN m ON p.html = m.html JOIN d USING (h)
+"""
+
+ORACLES: dict[str, str] = {"op3_secret_ownership": SQL_OP3, "op5_warc_index": SQL_OP5, "op4_benchmark_decontamination": SQL_OP4}
