@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, bytecnn, fertility, linededup, minhash, secrets, toxicity, warc, winnowing
+from . import bytebpe, bytecnn, fertility, licenses, linededup, minhash, secrets, toxicity, warc, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,7 +60,7 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.score_documents(docs, bytecnn.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_tokeniser_fertility, op3_secret_ownership, op4_benchmark_decontamination, op5_warc_index, op6_fuzzy_lines, op7_minhash_near_dedup, op8_toxicity_chain, op9_byte_bpe, op10_byte_cnn)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_compression, op2_tokeniser_fertility, op3_secret_ownership, op4_benchmark_decontamination, op5_warc_index, op6_fuzzy_lines, op7_minhash_near_dedup, op8_toxicity_chain, op9_byte_bpe, op10_byte_cnn)}
 
 SQL_OP4 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
