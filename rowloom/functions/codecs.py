@@ -20,7 +20,7 @@ CANDIDATES = {"u64": ("delta_bitpack", "bitpack", "delta_varint_u64", "stored"),
 #: Bytes of a column's metadata beside its name, codec metadata and statistics: fixed values.
 COLUMN_FIXED, NAME_LENGTH = 43, 2
 STATISTICS = {"u64": 17, "bool": 9, "string": 9}
-CODEC_METADATA = {"bitpack": 9, "delta_bitpack": 17, "delta_varint_u64": 8, "stored": 0}
+CODEC_METADATA = {"bitpack": 9, "delta_bitpack": 17, "delta_varint_u64": 8, "stored": 8, "prefix": 8, "dictionary": 8, "rle": 8, "bitmap": 8}
 
 
 # byte-exact, on Python values
@@ -159,15 +159,11 @@ def choose(kind: str, values: list) -> tuple[str, int]:
     failed: ValueError | None = None
     for codec in CANDIDATES[kind]:
         try:
-            if kind == "u64":
-                size = len(encode_numbers(codec, values)[0]) + CODEC_METADATA[codec]
-            elif kind == "string":
-                size = len(encode_strings(codec, values))
-            else:
-                size = len(encode_bools(values, False))
+            payload = encode_numbers(codec, values)[0] if kind == "u64" else encode_strings(codec, values) if kind == "string" else encode_bools(values, False)
         except ValueError as e:
             failed = failed or e
             continue
+        size = len(payload) + CODEC_METADATA[codec]
         if best is None or size < best[0]:
             best = (size, codec)
     if best is None:
@@ -228,14 +224,14 @@ def prefix_length(before, value):
 def auto_codec(sizes: DataFrame, kind: str, group: str = "row_group") -> DataFrame:
     """The smallest codec per group; ties go to the earlier candidate, codecs without a size are passed over."""
     names = [c for c in CANDIDATES[kind] if c in sizes.columns]
-    options = F.array(*(F.struct((F.col(c) + CODEC_METADATA.get(c, 0)).alias("size"), F.lit(i).alias("rank"), F.lit(c).alias("codec")) for i, c in enumerate(names)))
+    options = F.array(*(F.struct((F.col(c) + CODEC_METADATA[c]).alias("size"), F.lit(i).alias("rank"), F.lit(c).alias("codec")) for i, c in enumerate(names)))
     best = F.array_min(F.filter(options, lambda o: o["size"].isNotNull()))
     return sizes.select(group, best["codec"].alias("codec"), best["size"].cast("long").alias("encoded_size"))
 
 
 def column_metadata_size(name: str, kind: str, codec: str, has_values: bool = True) -> int:
     stats = 1 if kind == "u64" and not has_values else STATISTICS[kind]
-    return NAME_LENGTH + len(name.encode()) + COLUMN_FIXED + CODEC_METADATA.get(codec, 0) + stats
+    return NAME_LENGTH + len(name.encode()) + COLUMN_FIXED + CODEC_METADATA[codec] + stats
 
 
 # codecs over DataFrames

@@ -351,7 +351,7 @@ _bitmap("svc", "validity_bitmap")
 @query(
     f"""WITH s AS (SELECT row_group, count(*) AS n, CASE WHEN coalesce(max(inner_d), 0) = 0 THEN 0 ELSE length(bin(max(inner_d))) END AS dw, length(bin(max(ts))) AS w, sum(greatest(1, ceil(({WIDTH.format('d')}) / 7.0))) AS v
 FROM (SELECT row_group, ts, ts - lag(ts) OVER w AS inner_d, ts - coalesce(lag(ts) OVER w, 0) AS d FROM {EVG} WINDOW w AS (PARTITION BY row_group ORDER BY row_index)) GROUP BY row_group),
-o AS (SELECT row_group, unnest(['delta_bitpack', 'bitpack', 'delta_varint_u64', 'stored']) AS codec, unnest([0, 1, 2, 3]) AS rank, unnest([CAST(ceil(n * dw / 8.0) AS BIGINT) + 17, CAST(ceil(n * w / 8.0) AS BIGINT) + 9, CAST(v AS BIGINT) + 8, 8 * n]) AS size FROM s)
+o AS (SELECT row_group, unnest(['delta_bitpack', 'bitpack', 'delta_varint_u64', 'stored']) AS codec, unnest([0, 1, 2, 3]) AS rank, unnest([CAST(ceil(n * dw / 8.0) AS BIGINT) + 17, CAST(ceil(n * w / 8.0) AS BIGINT) + 9, CAST(v AS BIGINT) + 8, 8 * n + 8]) AS size FROM s)
 SELECT row_group, codec, size AS encoded_size FROM (SELECT *, row_number() OVER (PARTITION BY row_group ORDER BY size, rank) AS k FROM o) WHERE k = 1"""
 )
 def auto_codec(spark, sf_dir):
