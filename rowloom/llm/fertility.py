@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytebpe import ByteBPE, load_ranks
 from .session import bound_batches
 from .textbytes import runs
 
@@ -74,11 +75,8 @@ class Vocabularies:
 
     def __init__(self, ranks: str, pattern: str, pieces: str):
         import sentencepiece
-        import tiktoken
 
-        from .bytebpe import load_ranks
-
-        self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(load_ranks(ranks))}, special_tokens={})
+        self.bpe = ByteBPE(load_ranks(ranks), pattern)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())], np.int64)
         self.clear()
@@ -92,7 +90,7 @@ class Vocabularies:
         if not words:
             return
         texts = [w.decode() for w in words]
-        for w, ids, pieces in zip(words, self.bpe.encode_ordinary_batch([" " + t for t in texts], num_threads=1), self.pieces.encode(texts, num_threads=1), strict=True):
+        for w, ids, pieces in zip(words, self.bpe.encode_batch([" " + t for t in texts]), self.pieces.encode(texts, num_threads=1), strict=True):
             self.known[w] = len(self.known)
             self.tokens.extend(ids)
             self.at.append(len(self.tokens))
