@@ -11,39 +11,78 @@ group or was verified, directly, not to be linked: the groups are those of all p
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .session import Scratch
+from .session import Scratch, mark_of, rows_of
 
 #: Nodes of a bucket that are compared with the others: this to the power of the round.
 REPS_GROWTH = 4
+#: Edges that one task may join.
+TASK_EDGES = 500_000
+#: Kept tables of so many rows (of a few numbers each) are worked on in one task, without a shuffle, and are broadcast.
+SMALL_ROWS = 200_000
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, comp): the least node reachable, for each node of ``edges`` (a, b). Large-star, small-star until nothing changes."""
-    now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+def near(table: DataFrame) -> DataFrame:
+    """A kept table, in one partition if it is small: then groups and joins of such tables need no exchange."""
+    return table.coalesce(1) if rows_of(table) <= SMALL_ROWS else table
+
+
+def attach(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """(a, b, a_<value>, b_<value>): the table's value of both nodes of kept pairs. Few pairs are broadcast, so that only their values are shuffled."""
+    few = F.broadcast(pairs) if rows_of(pairs) <= SMALL_ROWS else pairs
+    side = lambda name: table.join(few, F.col("node") == F.col(name)).select("a", "b", F.col(value).alias(f"{name}_{value}"))
+    return side("a").join(side("b"), ["a", "b"])
+
+
+def components(edges: DataFrame, scratch: Scratch, python: bool = False) -> DataFrame:
+    """(node, comp): the least node reachable, for each node of ``edges`` (a, b).
+
+    Large-star and small-star steps until nothing changes. With ``python``, at most
+    ``TASK_EDGES`` edges are instead joined by union-find in one task, in one job.
+    """
+    now = near(kept := scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()))
+    if python and rows_of(kept) <= TASK_EDGES:
+        return now.coalesce(1).mapInArrow(_union_find, "node long, comp long")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.keep(large.where("u <> v").distinct())
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = scratch.keep(small.where("u <> v").distinct())
-        sums = lambda t: t.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        same = sums(new) == sums(now)
-        scratch.free(now, large)
-        now = new
+        same = mark_of(new) == mark_of(kept)
+        scratch.free(kept)
+        kept, now = new, near(new)
         if same:
             break
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "comp"])
+
+
 def distinct_buckets(members: DataFrame) -> DataFrame:
     """``members`` (bucket, node) of buckets with two nodes or more; of buckets with the same nodes one stays."""
     buckets = members.groupBy("bucket").agg(
@@ -54,48 +93,48 @@ def distinct_buckets(members: DataFrame) -> DataFrame:
     return members.join(kept, "bucket")
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
-    """(node, comp) of the nodes in groups of two or more.
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, python: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(node, comp) of the nodes in groups of two or more, and the pairs (a, b) that were verified.
 
-    ``members`` (bucket, node): distinct rows. ``verify`` takes pairs (a, b), a < b, and
-    returns those that are linked.
+    ``members`` (bucket, node): distinct rows, of ``distinct_buckets``, kept. ``verify``
+    takes kept pairs (a, b), a < b, and returns those that are linked. ``python`` as in ``components``.
     """
-    members = scratch.keep(distinct_buckets(members).select("bucket", "node", F.lit(False).alias("done")))
-    none = scratch.spark.createDataFrame([], "a long, b long")
-    labels = scratch.spark.createDataFrame([], "node long, comp long")
-    compared, round_no = none, 0
+    spark = scratch.spark
+    members = near(members)
+    labels = spark.createDataFrame([], "node long, comp long").coalesce(1)
+    compared, round_no = spark.createDataFrame([], "a long, b long").coalesce(1), 0
     while True:
         if round_no == 0:
             # One pair a node: with the least node that shares a bucket with it.
             low = members.groupBy("bucket").agg(F.min("node").alias("rep"))
             pairs = members.join(low, "bucket").where("node <> rep").groupBy("node").agg(F.min("rep").alias("a")).select("a", F.col("node").alias("b"))
         else:
-            grouped = members.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("bucket", "node", "done", F.coalesce("comp", "node").alias("comp"))
-            grouped = scratch.keep(grouped)
-            per = grouped.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(~F.col("done"), F.col("node"))).alias("rep")).where("rep IS NOT NULL")
-            order = W.partitionBy("bucket").orderBy("n", "rep")
-            ranked = per.withColumn("rank", F.row_number().over(order)).withColumn("groups", F.count(F.lit(1)).over(W.partitionBy("bucket")))
-            reps = scratch.keep(ranked.where((F.col("groups") > 1) & (F.col("rank") <= REPS_GROWTH ** (round_no - 1))).select("bucket", "rep", F.col("comp").alias("rep_comp")))
-            if reps.isEmpty():
-                scratch.free(grouped, reps)
+            of_node = labels.select(F.col("node").alias("n"), "comp")
+            now = near(scratch.keep(members.join(of_node, F.col("node") == F.col("n"), "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))))
+            per = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("rep"))
+            ranked = per.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("n", "rep"))).withColumn("groups", F.count(F.lit(1)).over(W.partitionBy("bucket")))
+            reps = scratch.keep(ranked.where((F.col("groups") > 1) & (F.col("rank") <= REPS_GROWTH**round_no)).select("bucket", "rep", F.col("comp").alias("rep_comp")))
+            if not rows_of(reps):
                 break
-            open_now = grouped.where("NOT done").join(reps, "bucket").where("comp <> rep_comp")
-            pairs = open_now.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
+            reps = near(reps)
+            pairs = now.join(reps, "bucket").where("comp <> rep_comp").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
+            # What was compared with all others leaves its bucket; buckets of one group close.
+            active = now.join(reps.select("bucket").distinct(), "bucket", "left_semi")
+            members = active.join(reps.select("bucket", F.col("rep").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
         pairs = scratch.keep(pairs)
-        edges = scratch.keep(verify(pairs))
-        if round_no:
-            active = reps.select("bucket").distinct()
-            marked = members.join(active, "bucket", "left_semi").join(reps.select("bucket", F.col("rep").alias("node"), F.lit(True).alias("now")), ["bucket", "node"], "left")
-            marked = scratch.keep(marked.select("bucket", "node", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")))
-            scratch.free(members, grouped, reps)
-            members = marked
-        compared = compared.unionByName(pairs)
-        if not edges.isEmpty():
-            of = lambda side: labels.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp"))
-            between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
-            merged = scratch.keep(components(between, scratch))
-            old = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-            fresh = merged.join(labels.select("node"), "node", "left_anti")
-            labels = scratch.keep(old.unionByName(fresh))
+        edges = scratch.keep(verify(pairs)) if rows_of(pairs) else pairs
+        compared = near(scratch.keep(compared.unionByName(pairs)))
+        if rows_of(edges):
+            labels = merge(labels, near(edges), scratch, python)
         round_no += 1
-    return labels
+    return labels, compared
+
+
+def merge(labels: DataFrame, edges: DataFrame, scratch: Scratch, python: bool = False) -> DataFrame:
+    """Groups (node, comp) after more edges (a, b)."""
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp"))
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    merged = near(scratch.keep(components(between, scratch, python)))
+    old = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    fresh = merged.join(labels.select("node"), "node", "left_anti")
+    return near(scratch.keep(old.unionByName(fresh)))

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import link
-from .session import Scratch, bound_batches
+from .linking import attach, distinct_buckets, link, merge, near
+from .session import Scratch, bound_batches, rows_of
 from .textbytes import SPACED_WORD, Run, ascii_fold, find_words, grams, mix, runs
 
 SHINGLE, SIMILARITY = 5, 80
@@ -55,11 +55,9 @@ def set_key(hashes: np.ndarray) -> int:
 def half_hashes(hashes: np.ndarray) -> np.ndarray:
     """2 * REPEATS small hashes of a set, each of ROWS minhashes."""
     least = np.full(len(_SEEDS), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for i in range(0, len(hashes), 4096):
-        part = hashes[i : i + 4096]
-        for j, seed in enumerate(_SEEDS):
-            x = (part ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
-            least[j] = min(least[j], (x ^ (x >> np.uint64(32))).min())
+    for i in range(0, len(hashes), 512):
+        x = (_SEEDS[:, None] ^ hashes[None, i : i + 512]) * np.uint64(0xFF51AFD7ED558CCD)
+        np.minimum(least, (x ^ (x >> np.uint64(32))).min(1), out=least)
     return grams_of_rows(mix(least).reshape(2 * REPEATS, ROWS)).view(np.int64)
 
 
@@ -78,8 +76,8 @@ def _signatures(shingle: int):
                 keys = [set_key(s) if len(s) else None for s in sets]
                 halves = [half_hashes(s) if len(s) else [] for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(run.first, run.last - run.first), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(halves, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "node", "halves"],
+                    [*(batch.column(i).slice(run.first, run.last - run.first) for i in (0, 2)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(halves, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_hash", "n_shingles", "node", "halves"],
                 )
 
     return work
@@ -116,6 +114,35 @@ def _confirm(similarity: int):
     return work
 
 
+def _equal_places(own: DataFrame) -> DataFrame:
+    """(bucket, node): the keys of halves at equal places of both collections, at most REPEATS a document."""
+    side = lambda test: F.filter("halves", test)
+    first = own.select("node", F.explode(side(lambda h: h["half"] < REPEATS)).alias("x"), side(lambda h: h["half"] >= REPEATS).alias("second"))
+    pairs = first.select("node", "x", F.explode(F.filter("second", lambda y: y["half"] == F.col("x.half") + REPEATS)).alias("y"))
+    return pairs.select(F.xxhash64("x.half", "x.hash", "y.hash").alias("bucket"), "node")
+
+
+def _other_pairs(signed: DataFrame, own: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of different groups that share any key, that is a half of either collection, each pair once.
+
+    Documents meet at a shared half of the first collection, if it is the first that they
+    share and if they share one of the second. Halves that one group has alone are left out.
+    """
+    halves = own.select("node", F.explode("halves").alias("h")).where(F.col("h.half") < REPEATS)
+    halves = halves.join(labels, "node", "left").select("node", "h.half", "h.hash", F.coalesce("comp", "node").alias("comp"))
+    across = halves.groupBy("half", "hash").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("half", "hash")
+    halves = halves.join(across, ["half", "hash"], "left_semi")
+    whole = signed.join(halves.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("halves").alias("all"))
+    rows = halves.join(whole, "node")
+    x = rows.select("half", "hash", F.col("node").alias("a"), F.col("comp").alias("a_comp"), F.col("all").alias("a_all"))
+    y = rows.select("half", "hash", F.col("node").alias("b"), F.col("comp").alias("b_comp"), F.col("all").alias("b_all"))
+    joined = x.alias("x").join(y.alias("y"), (F.col("x.half") == F.col("y.half")) & (F.col("x.hash") == F.col("y.hash")) & F.expr(
+        "a < b AND a_comp <> b_comp AND size(array_intersect(slice(a_all, 1, x.half), slice(b_all, 1, x.half))) = 0"
+        f" AND arrays_overlap(slice(a_all, {REPEATS + 1}, {REPEATS}), slice(b_all, {REPEATS + 1}, {REPEATS}))"
+    ))
+    return joined.select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """Groups of documents whose shingle sets have 100 * intersection >= similarity * union.
 
@@ -126,38 +153,49 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     no other; then component_id is null and the row is kept. Only doc_id and text are read.
     Sets are known by 64-bit hashes of their shingles, a whole set by a 64-bit hash.
     """
+    return _judge(docs, shingle, similarity).drop("text_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are kept; equal rows are one document."""
+    judged = _judge(docs, shingle, similarity)
+    gone = Scratch(docs.sparkSession, "dropped").keep(judged.where("NOT kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("_hash"))
+    return docs.join(gone, same, "left_anti")
+
+
+def _judge(docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark, "minhash")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.keep(read.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, node long, halves array<long>"))
+    text = F.col("text").cast("string")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    signed = scratch.keep(read.mapInArrow(_signatures(shingle), "doc_id long, text_hash long, n_shingles long, node long, halves array<long>"))
 
     halves = signed.where("node IS NOT NULL").select("node", F.posexplode("halves").alias("half", "hash"))
     shared = halves.groupBy("half", "hash").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("half", "hash")
     shared = scratch.keep(shared)
     # Each document's shared halves, at most 2 * REPEATS; equal sets come to one row.
     own = halves.join(shared, ["half", "hash"], "left_semi").groupBy("node").agg(F.collect_set(F.struct("half", "hash")).alias("halves"))
-    side = lambda test: F.filter("halves", test)
-    own = own.select("node", side(lambda h: h["half"] < REPEATS).alias("first"), side(lambda h: h["half"] >= REPEATS).alias("second"))
-    members = own.select("node", F.explode("first").alias("x"), "second").select("node", "x", F.explode("second").alias("y")).select(F.xxhash64("x.half", "x.hash", "y.half", "y.hash").alias("bucket"), "node")
-    members = scratch.keep(members)
-
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    wanted = scratch.keep(members.join(buckets, "bucket", "left_semi").select("node").distinct())
-    n_wanted = wanted.count()
-    if n_wanted:
-        sent = np.sort(np.array([r.node for r in wanted.toLocalIterator()], np.int64)) if n_wanted <= SENT_NODES else None
+    own = scratch.keep(own)
+    # First the keys of equal places in both collections, then pairs of different groups that share any other key.
+    members = scratch.keep(distinct_buckets(_equal_places(own)))
+    wanted = scratch.keep(own.select("node"))
+    if rows_of(wanted):
+        sent = np.sort(np.array([r.node for r in wanted.toLocalIterator()], np.int64)) if rows_of(wanted) <= SENT_NODES else None
         sets = read.select("text").mapInArrow(_sets(shingle, sent), "node long, hashes binary")
         if sent is None:
             sets = sets.join(wanted, "node", "left_semi")
         sets = scratch.keep(sets.dropDuplicates(["node"]))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            of = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"{name}_set"))
-            both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set")
+            both = attach(pairs, sets, "hashes")
             return both.mapInArrow(_confirm(similarity), "a long, b long")
 
-        labels = link(members, verify, scratch)
+        labels, compared = link(members, verify, scratch, python=True)
+        pairs = scratch.keep(_other_pairs(signed, own, labels).join(compared, ["a", "b"], "left_anti"))
+        if rows_of(pairs):
+            labels = merge(labels, near(scratch.keep(verify(pairs))), scratch, python=True)
         scratch.free(members, sets)
     else:
         labels = spark.createDataFrame([], "node long, comp long")
@@ -166,6 +204,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     least = grouped.groupBy("comp").agg(F.min("low").alias("component_id"), F.sum("n").alias("size")).where("size > 1")
     # Only nodes in groups of two rows or more need an answer: the others are their own.
     answer = scratch.keep(grouped.join(least, "comp").select("node", "component_id"))
-    out = signed.select("doc_id", "n_shingles", "node").join(answer, "node", "left")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "node").join(answer, "node", "left")
     component = F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

@@ -211,3 +211,17 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names, "score", "predicted", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, schema)
+
+
+def drop_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the chain does not reject."""
+    bound_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in runs(batch.column(at)):
+                p = chain.predict(run.last - run.first, *features(run))
+                yield batch.slice(run.first, run.last - run.first).filter(pa.array(p[:, -1] < chain.threshold))
+
+    return docs.mapInArrow(work, docs.schema)

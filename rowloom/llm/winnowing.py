@@ -199,6 +199,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     return parts.groupBy("doc_id", "text_hash", "n_chars").applyInArrow(_merge, SCHEMA)
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that share no window with ``items``."""
+    bound_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def clean(bench: Benchmark):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for run in runs(batch.column(at)):
+                    mask = [len(first) == 0 for _, first, _, _ in _scan(run, bench, window, gram)]
+                    yield batch.slice(run.first, run.last - run.first).filter(pa.array(mask, pa.bool_()))
+
+        return work
+
+    schema = docs.schema
+    for rows in benchmark_blocks(items, "item_id", "text", block_bytes):
+        docs = docs.mapInArrow(clean(prepare(rows, window, gram)), schema)
+    return docs
+
+
 def _rest(first: list, second: list, blocks: Iterator[list]) -> Iterator[list]:
     yield first
     yield second
