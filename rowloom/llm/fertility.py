@@ -1,6 +1,6 @@
 """Quality rules from tokeniser fertility.
 
-Public vocabularies cut each word of a text: a byte-level BPE gives characters per
+Public vocabularies cut each word of a text, with a space before it: a byte-level BPE gives characters per
 token and the entropy of the text's tokens, a piece vocabulary with byte fallback
 gives the share of pieces that are bare bytes. A text whose measures leave the band
 of its language, or of its script where the language has none, is rejected, as is
@@ -13,13 +13,14 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import ByteBPE, load_ranks
+from .bytebpe import load_ranks, model_proto
 from .session import bound_batches
 from .textbytes import runs
 
@@ -73,10 +74,10 @@ def _beyond_latin():
 class Vocabularies:
     """What is known of each word: its tokens in the first vocabulary, its pieces and bare bytes in the second."""
 
-    def __init__(self, ranks: str, pattern: str, pieces: str):
+    def __init__(self, ranks: str, pieces: str):
         import sentencepiece
 
-        self.bpe = ByteBPE(load_ranks(ranks), pattern)
+        self.bpe = sentencepiece.SentencePieceProcessor(model_proto=model_proto(load_ranks(ranks)))
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())], np.int64)
         self.clear()
@@ -89,13 +90,19 @@ class Vocabularies:
         """Adds words that aren't known."""
         if not words:
             return
-        texts = [w.decode() for w in words]
-        for w, ids, pieces in zip(words, self.bpe.encode_batch([" " + t for t in texts]), self.pieces.encode(texts, num_threads=1), strict=True):
-            self.known[w] = len(self.known)
-            self.tokens.extend(ids)
-            self.at.append(len(self.tokens))
-            self.n_pieces.append(len(pieces))
-            self.n_bytes.append(int(self.is_byte[pieces].sum()) if pieces else 0)
+        new = list(words)
+        # All words at once, each byte as its character in the model; words hold no newline.
+        chars = (np.frombuffer(b"\n".join(b" " + w for w in new), np.uint8).astype("<u2") + 0x100).tobytes().decode("utf-16-le").split(chr(0x100 + 10))
+        tokens = self.bpe.encode(chars, num_threads=1)
+        pieces = self.pieces.encode([w.decode() for w in new], num_threads=1)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.at.extend((self.at[-1] + np.cumsum(list(map(len, tokens)))).tolist())
+        self.tokens.extend(chain.from_iterable(tokens))
+        sizes = np.array(list(map(len, pieces)), np.int64)
+        ends = np.concatenate(([0], np.cumsum(self.is_byte[np.fromiter(chain.from_iterable(pieces), np.int64, int(sizes.sum()))])))
+        last = np.cumsum(sizes)
+        self.n_pieces.extend(sizes.tolist())
+        self.n_bytes.extend((ends[last] - ends[last - sizes]).tolist())
 
     def measure(self, numbers: np.ndarray) -> tuple[int, float, float]:
         """Tokens, share of bare bytes among pieces, entropy of the tokens in bits."""
@@ -110,8 +117,8 @@ class Vocabularies:
 
 
 @lru_cache(maxsize=2)
-def loaded(ranks: str, pattern: str, pieces: str) -> Vocabularies:
-    return Vocabularies(ranks, pattern, pieces)
+def loaded(ranks: str, pieces: str) -> Vocabularies:
+    return Vocabularies(ranks, pieces)
 
 
 def repeated_words(numbers: np.ndarray) -> int:
@@ -143,11 +150,11 @@ def measure_text(text: str, words: list[bytes], lang: str | None, vocab: Vocabul
     return n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, failed, kept, tokens, per_token, share, entropy, band
 
 
-def quality_rules(docs: DataFrame, ranks: str, pattern: str, pieces: str, bands: dict[str, Band] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, ranks: str, pieces: str, bands: dict[str, Band] | None = None) -> DataFrame:
     """Base rules and fertility verdict of each whole text.
 
-    ``docs`` has doc_id, text, lang; other columns are not read. ``ranks``, ``pattern``
-    and ``pieces`` name the public vocabularies that every executor has. One row per
+    ``docs`` has doc_id, text, lang; other columns are not read. ``ranks`` and
+    ``pieces`` name the public vocabularies that every executor has. One row per
     row of ``docs``, null or repeated ids included. A null or empty text has no words:
     it fails the base rules. A null or unknown language takes the band of its script.
     """
@@ -158,7 +165,7 @@ def quality_rules(docs: DataFrame, ranks: str, pattern: str, pieces: str, bands:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = loaded(ranks, pattern, pieces)
+        vocab = loaded(ranks, pieces)
         for batch in batches:
             for run in runs(batch.column(1)):
                 part = batch.slice(run.first, run.last - run.first)

@@ -21,7 +21,7 @@ def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path
-    return fertility.quality_rules(table(spark, sf_dir, "documents"), path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+    return fertility.quality_rules(table(spark, sf_dir, "documents"), path("byte_bpe_multi_50k.tiktoken"), path("piece_bpe_32k.model"))
 
 
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:

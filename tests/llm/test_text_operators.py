@@ -123,7 +123,7 @@ def plain_base(text):
 def test_quality_base(make_docs):
     rng = random.Random(5)
     texts = [random_text(rng, ["a", "b", "of", "é|", "漢#", "x\x1cy\x85z"], rng.randrange(120)) for _ in range(60)] + [None, "", "a\na\n\nb\na", " \n "]
-    got = fertility.quality_rules(make_docs(texts), RANKS, PT.PATTERN, PIECES).collect()
+    got = fertility.quality_rules(make_docs(texts), RANKS, PIECES).collect()
     assert sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == [(i, *plain_base(t)) for i, t in enumerate(texts)]
     assert not any(r.kept and r.base_failed for r in got)
 
@@ -135,7 +135,7 @@ def test_quality_fertility(make_docs):
     import sentencepiece
 
     text = " ".join(f"plain words number {i} of an ordinary text" for i in range(20)) + " 漢字 ꙮꙮ"
-    row = fertility.quality_rules(make_docs([text]), RANKS, PT.PATTERN, PIECES).first()
+    row = fertility.quality_rules(make_docs([text]), RANKS, PIECES).first()
     bpe, sp = reference_encoder(), sentencepiece.SentencePieceProcessor(model_file=PIECES)
     tokens = [t for w in text.split() for t in bpe.encode_ordinary(" " + w)]
     pieces = [p for w in text.split() for p in sp.encode(w)]
@@ -144,13 +144,13 @@ def test_quality_fertility(make_docs):
     assert row.fallback_share == pytest.approx(sum(map(sp.is_byte, pieces)) / len(pieces))
     assert row.token_entropy == pytest.approx(-sum(c / len(tokens) * math.log2(c / len(tokens)) for c in Counter(tokens).values()))
     junk = " ".join(f"{w}$$$" if i % 2 else f"{w}%%%" for i, w in enumerate("qx zv jk wq xz".split() * 40 + [str(i) for i in range(200)]))
-    assert not fertility.quality_rules(make_docs([junk]), RANKS, PT.PATTERN, PIECES).first().kept
+    assert not fertility.quality_rules(make_docs([junk]), RANKS, PIECES).first().kept
 
 
 def test_quality_hard(hard_docs, no_docs):
-    got = fertility.quality_rules(hard_docs, RANKS, PT.PATTERN, PIECES).collect()
+    got = fertility.quality_rules(hard_docs, RANKS, PIECES).collect()
     assert len(got) == 8 and all(r.base_failed and not r.kept for r in got)
-    assert fertility.quality_rules(no_docs, RANKS, PT.PATTERN, PIECES).collect() == []
+    assert fertility.quality_rules(no_docs, RANKS, PIECES).collect() == []
 
 
 # licences
