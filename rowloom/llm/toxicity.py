@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .labelled import sample
 from .session import bound_batches
-from .textbytes import SPACED_WORD, Run, ascii_fold, byte_class, find_words, runs
+from .textbytes import SPACED_WORD, Run, ascii_fold, byte_class, find_words, mix, runs
 
 #: Bounds of the labelled sample: rows and characters of a text.
-SAMPLE_ROWS, SAMPLE_CHARS = 8000, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
 FOLDS = 5
 #: Word beginnings, in bytes, that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7)
@@ -139,7 +139,8 @@ def category_labels(texts: list[str], toxic: list[int]) -> dict[str, np.ndarray]
     """0/1 per category of the chain, from the label and the seed words."""
     import re
 
-    seen = [set(re.findall(r"[a-z]+", t.lower())) for t in texts]
+    seeds = {w for words in CATEGORY_WORDS.values() for w in words}
+    seen = [seeds.intersection(re.findall(r"[a-z]+", t.lower())) for t in texts]
     out = {name: np.array([int(y and bool(s & set(words))) for s, y in zip(seen, toxic, strict=True)]) for name, words in CATEGORY_WORDS.items()}
     out["other"] = np.array([int(y and not any(out[n][i] for n in CATEGORY_WORDS)) for i, y in enumerate(toxic)])
     return out | {"toxic": np.array(toxic)}
@@ -159,8 +160,15 @@ def fit_chain(texts: list[str], labels: dict[str, np.ndarray], names: tuple[str,
         t, v = features(Run(at, end, data[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at]))
         parts.append((t + at, v))
         at = end
+    # Most features are of one row: a table of 2^22 counts rules them out before the sort.
+    slot = lambda v: (mix(v) >> np.uint64(42)).astype(np.int64)
+    seen = np.zeros(1 << 22, np.int32)
+    for _, v in parts:
+        np.add.at(seen, slot(v), 1)
+    parts = [(t[keep], v[keep]) for t, v in parts for keep in [seen[slot(v)] >= LEAST_ROWS]]
     text = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
     value = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
+    del parts
     distinct, number, counts = np.unique(value, return_inverse=True, return_counts=True)
     often = counts[number] >= LEAST_ROWS
     text, value, number = text[often], value[often], number[often]
