@@ -217,7 +217,7 @@ def test_validate(spark):
     groups = spark.createDataFrame([(0, 0, 2), (1, 2, 2)], "row_group long, first_row long, row_count long")
     assert storage.check_footer(groups, total_rows=4).isEmpty() and storage.check_footer(groups, total_rows=5).count() == 1
     assert storage.check_footer(groups.withColumn("first_row", F.lit(0).cast("long"))).count() == 1
-    payload = spark.createDataFrame([(bytearray(b"compact"), 0x84A00BBF), (bytearray(b"x"), 1)], "payload binary, crc long")
+    payload = spark.createDataFrame([(bytearray(b"123456789"), 0xCBF43926), (bytearray(b"x"), 1)], "payload binary, crc long")
     assert [r.valid for r in storage.mark_valid(payload).collect()] == [True, False]
 
 
