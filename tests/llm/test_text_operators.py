@@ -25,14 +25,14 @@ def random_text(rng, vocabulary, n):
 # byte-level BPE
 
 
-def reference_encoder():
+def library_encoder():
     import tiktoken
 
     return tiktoken.Encoding("own", pat_str=PT.PATTERN, mergeable_ranks={t: i for i, t in enumerate(bytebpe.load_ranks(RANKS))}, special_tokens={})
 
 
 def test_bpe_equals_rank_bpe():
-    bpe, want, rng = bytebpe.loaded(RANKS, PT.PATTERN), reference_encoder(), random.Random(1)
+    bpe, want, rng = bytebpe.loaded(RANKS, PT.PATTERN), library_encoder(), random.Random(1)
     pools = [range(32, 127), range(0, 0x250), [*range(0x400, 0x460), *range(0x4E00, 0x4E20), 0x1F600, 10, 32, 0, 0x85, 0xA0, 0x2003]]
     for i in range(300):
         text = "".join(chr(rng.choice(pools[i % 3])) for _ in range(rng.randrange(80)))
@@ -48,7 +48,7 @@ def test_bpe_every_token_is_its_piece():
 
 
 def test_bpe_documents(hard_docs, no_docs):
-    want = reference_encoder()
+    want = library_encoder()
     got = bytebpe.encode_documents(hard_docs, RANKS, PT.PATTERN, with_ids=True).collect()
     texts = [r.text or "" for r in hard_docs.collect()]
     assert sorted((r.n_tokens, r.ids_sha256) for r in got) == sorted((len(i), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest()) for i in map(want.encode_ordinary, texts))
@@ -136,7 +136,7 @@ def test_quality_fertility(make_docs):
 
     text = " ".join(f"plain words number {i} of an ordinary text" for i in range(20)) + " 漢字 ꙮꙮ"
     row = fertility.quality_rules(make_docs([text]), RANKS, PIECES).first()
-    bpe, sp = reference_encoder(), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    bpe, sp = library_encoder(), sentencepiece.SentencePieceProcessor(model_file=PIECES)
     tokens = [t for w in text.split() for t in bpe.encode_ordinary(" " + w)]
     pieces = [p for w in text.split() for p in sp.encode(w)]
     assert row.n_tokens == len(tokens)
