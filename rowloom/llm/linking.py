@@ -112,8 +112,14 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
             of_node = labels.select(F.col("node").alias("n"), "comp")
             now = near(scratch.keep(members.join(of_node, F.col("node") == F.col("n"), "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))))
             per = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("rep"))
-            ranked = per.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("n", "rep"))).withColumn("groups", F.count(F.lit(1)).over(W.partitionBy("bucket")))
-            reps = scratch.keep(ranked.where((F.col("groups") > 1) & (F.col("rank") <= REPS_GROWTH**round_no)).select("bucket", "rep", F.col("comp").alias("rep_comp")))
+            order = W.partitionBy("bucket").orderBy("n", "comp")
+            ranked = per.withColumn("rank", F.row_number().over(order)).withColumn("upto", F.sum("n").over(order)).withColumn("groups", F.count(F.lit(1)).over(W.partitionBy("bucket"))).where("groups > 1")
+            most = REPS_GROWTH**round_no
+            # Whole small groups, but never the largest; of the groups beyond, one node each.
+            whole = (F.col("rank") < F.col("groups")) & (F.col("upto") <= most)
+            one = ranked.where(~whole & (F.col("rank") <= most)).select("bucket", "rep", F.col("comp").alias("rep_comp"))
+            all_of = now.join(ranked.where(whole).select("bucket", "comp"), ["bucket", "comp"]).select("bucket", F.col("node").alias("rep"), F.col("comp").alias("rep_comp"))
+            reps = scratch.keep(one.unionByName(all_of))
             if not rows_of(reps):
                 break
             reps = near(reps)
