@@ -18,7 +18,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines near an earlier line go; every document stays, with n_chars of its new text."""
-    out = linededup.dedup_lines(docs).drop("n_lines", "n_kept_lines")
+    out = linededup.dedup_lines(docs, distance=None).drop("n_lines", "n_kept_lines")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

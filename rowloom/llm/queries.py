@@ -43,7 +43,7 @@ def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), distance=None)
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

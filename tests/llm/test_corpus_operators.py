@@ -9,7 +9,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from rowloom.llm import linededup, linking, minhash, secrets, warc
+from rowloom.llm import linededup, linking, minhash, queries, secrets, warc
 from rowloom.llm.session import Scratch
 
 
@@ -163,6 +163,32 @@ def test_fuzzy_lines(spark, make_docs):
     assert got[40].text is None and got[41].text == "" and got[42].text == "\n\n"
 
 
+def test_fuzzy_lines_by_similarity(spark, make_docs, tmp_path):
+    """The query has no SimHash radius: against brute force on the edit similarity alone."""
+    rng = random.Random(18)
+    lines = []
+    for n in (1, 2, 3, 5, 8, 10, 12, 20, 50, 100) * 3:
+        base = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(3, 9))) for _ in range(n)]
+        lines.append(" ".join(base))
+        for changes in (1, max(1, n // 10)):
+            copy = list(base)
+            for at in rng.sample(range(n), changes):
+                copy[at] = copy[at] + "x" if n < 5 else "changed"
+            lines.append(" ".join(copy))
+        lines.append(" ".join(base[:-1] if n > 5 else base) + "y")
+    lines += ["漢字仮名交文章例文続行本日晴天" + x for x in ("甲", "乙")]
+    want = groups(lines, [(a, b) for a, b in combinations(lines, 2) if edit_distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)])
+    first = {}
+    for i, x in enumerate(lines):
+        first.setdefault(want[x], i)
+    assert len(first) < len(lines) / 2
+    make_docs(lines).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op6_fuzzy_lines(spark, str(tmp_path))
+    assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
+    got = {r.doc_id: r.n_kept_lines for r in out.collect()}
+    assert got == {i: int(first[want[x]] == i) for i, x in enumerate(lines)}
+
+
 def test_fuzzy_lines_hard(hard_docs, no_docs):
     got = linededup.dedup_lines(hard_docs)
     assert set(hard_docs.columns) <= set(got.columns)
