@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pyarrow as pa
@@ -111,40 +110,60 @@ def rank(words: list[str], templates: list[Template], alone: object) -> list[tup
     return [(-share, t) for _, share, _, t in ranked]
 
 
-def differences(template: list[str], words: list[str]) -> tuple[int, int, int, int]:
-    """Of the best alignment: template words that are missing, words added between, and the first and last aligned word."""
-    found = [m for m in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if m.size]
-    if not found:
-        return len(template), 0, 0, 0
-    matched = sum(m.size for m in found)
-    first, last = found[0].b, found[-1].b + found[-1].size - 1
-    return len(template) - matched, last - first + 1 - matched, first, last
+def pieces(template: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Places and words of as many parts as a copy may have differences, and one: a copy has one of them unchanged."""
+    n = int(TOLERANCE * len(template)) + 1
+    bounds = [len(template) * i // n for i in range(n + 1)]
+    yield from ((a, template[a:b]) for a, b in zip(bounds, bounds[1:], strict=False) if a < b)
+
+
+def seeds(template: list[str], words: list[str], places: dict[str, list[int]]) -> list[tuple[int, int, int]]:
+    """Where parts of the template stand unchanged: place and end of the part, and where the template would begin."""
+    return sorted((at, at + len(part), at - off) for off, part in pieces(template) for at in places.get(part[0], ()) if words[at : at + len(part)] == part)
+
+
+def differences(template: list[str], words: list[str | None]) -> tuple[int, int, int, int]:
+    """Of the alignment with the fewest: template words that are missing, words added between, and the first and last aligned word."""
+    # Best of each end: missing + added, missing, first and last aligned word (-1: none yet).
+    row = [(0, 0, -1, -1)] * (len(words) + 1)
+    for i, t in enumerate(template, 1):
+        new = [(i, i, -1, -1)]
+        for j, w in enumerate(words, 1):
+            up, left, over = row[j], new[-1], row[j - 1]
+            best = (up[0] + 1, up[1] + 1, up[2], up[3])
+            if left[2] >= 0 and left[0] + 1 < best[0]:
+                best = (left[0] + 1, *left[1:])
+            if t == w and over[0] <= best[0]:
+                best = (over[0], over[1], j - 1 if over[2] < 0 else over[2], j - 1)
+            new.append(best)
+        row = new
+    total, missing, first, last = min(row, key=lambda x: x[0])
+    return missing, total - missing, first, last
 
 
 def scan_text(text: str, templates: list[Template], alone: object) -> list[tuple[str, int, int, float, int, int]]:
     """Confirmed licences: name, first and last line, reduction, missing and extra words, in order of place."""
-    found: dict[tuple[str, int, int], tuple] = {}
+    found = []
     for _, placed in blocks(text):
         words = [w for _, w in placed]
-        taken = [False] * len(words)
-        for reduction, t in rank(words, templates, alone) if words else ():
-            at = 0
-            while at < len(words):
-                window = words[at:]
-                missing, extra, first, last = differences(t.words, window)
-                if missing + extra > TOLERANCE * len(t.words) or any(taken[at + first : at + last + 1]):
-                    # The best alignment may span two copies; look from each place where the template's beginning recurs.
-                    nxt = next((i for i in range(at + 1, len(words)) if words[i] == t.words[0] and not taken[i]), len(words))
-                    tail = window[: nxt - at]
-                    missing, extra, first, last = differences(t.words, tail)
-                    if missing + extra > TOLERANCE * len(t.words) or any(taken[at + first : at + last + 1]):
-                        at = nxt
-                        continue
-                a, b = at + first, at + last
-                taken[a : b + 1] = [True] * (b - a + 1)
-                found.setdefault((t.name, placed[a][0], placed[b][0]), (t.name, placed[a][0], placed[b][0], reduction, missing, extra))
-                at = b + 1
-    return sorted(found.values(), key=lambda f: (f[1], f[2], f[0]))
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            places.setdefault(w, []).append(i)
+        at_parts = {t.name: found_at for t in templates if (found_at := seeds(t.words, words, places))}
+        free: list[str | None] = list(words)
+        for reduction, t in rank(words, [t for t in templates if t.name in at_parts], alone) if at_parts else ():
+            most = int(TOLERANCE * len(t.words))
+            for at, end, begin in at_parts[t.name]:
+                # A copy around this part lies within the template's length and tolerance.
+                while all(free[at:end]):
+                    low = max(begin - most, 0)
+                    missing, extra, first, last = differences(t.words, free[low : begin + len(t.words) + most])
+                    if missing + extra > most or not all(free[low + first : low + last + 1]):
+                        break
+                    a, b = low + first, low + last
+                    free[a : b + 1] = [None] * (b - a + 1)
+                    found.append((t.name, placed[a][0], placed[b][0], reduction, missing, extra))
+    return sorted(found, key=lambda f: (f[1], f[2], f[0]))
 
 
 def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:

@@ -182,6 +182,18 @@ def test_licence_brute_force():
         assert found == picked
 
 
+def test_licence_copies_of_one_block():
+    """Copies with and without a changed word, one after the other."""
+    templates, alone = licenses._compressors(tuple(sorted(licenses.TEMPLATES.items())))
+    for name in ("ISC", "MIT", "GPL-3.0"):
+        exact = licenses.TEMPLATES[name]
+        changed = exact.replace("software", "material", 1) if name == "ISC" else exact.replace("free", "gratis", 1)
+        for copies in ((exact, exact), (exact, changed), (changed, exact), (changed, changed), (changed, exact, changed)):
+            found = licenses.scan_text("\n".join(copies), templates, alone)
+            assert [f[:3] for f in found] == [(name, i, i) for i in range(len(copies))]
+            assert [f[4:] for f in found] == [(0, 0) if c == exact else (1, 1) for c in copies]
+
+
 # toxicity
 
 
