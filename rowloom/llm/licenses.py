@@ -1,9 +1,10 @@
 """Licence scan by conditional compression.
 
-Blocks of lines that speak of a licence are compressed alone and, for each licence
-template, with the template as a zstandard raw dictionary. The templates are ranked by
-how much smaller the block becomes with them; the best are confirmed, in that order, by
-the exact differences in wording between template and block.
+Lines that speak of a licence, with as many words around them as the longest template
+has, are compressed alone and, for each licence template of which a part stands there
+unchanged, with the template as a zstandard raw dictionary. The templates are ranked by
+how much smaller the block becomes with them and confirmed, in that order, by the exact
+differences in wording between template and block.
 """
 
 from __future__ import annotations
@@ -35,14 +36,11 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide.",
 }
-#: Lines with one of these words begin or continue a block.
+#: Lines with one of these words, and the words around them that one template may take up, are scanned.
 TRIGGER = re.compile(r"licen[cs]e|copyright|permission|warrant|redistribut|public domain|creative commons|as is\b|gnu general", re.I | re.A)
-#: Lines without such a word that may lie inside a block.
+#: Lines without such a word that may lie inside a block that is counted.
 GAP_LINES = 2
-#: Words of a part; the parts of a longer block overlap by twice the longest template.
-PART_WORDS = 1500
-#: Least reduction of a ranked template, as a share of its own compressed size, and the share of its words that may be missing or added.
-LEAST_REDUCTION = 0.3
+#: Share of a template's words that may be missing or added.
 TOLERANCE = 0.1
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 LEVEL = 3
@@ -77,36 +75,37 @@ def normal(text: str) -> str:
     return " ".join(words_of(text))
 
 
-def blocks(text: str) -> Iterator[tuple[int, list[tuple[int, str]]]]:
-    """Candidate blocks: their first line, and each word with its line. Long ones come in overlapping parts."""
-    lines = text.split("\n")
-    hits = [i for i, line in enumerate(lines) if TRIGGER.search(line)]
-    at = 0
-    while at < len(hits):
-        end = at
-        while end + 1 < len(hits) and hits[end + 1] - hits[end] <= GAP_LINES + 1:
-            end += 1
-        words = [(i, w) for i in range(hits[at], hits[end] + 1) for w in words_of(lines[i])]
-        yield from ((hits[at], part) for part in parts(words))
-        at = end + 1
+def n_blocks(text: str) -> int:
+    """Candidate blocks: runs of trigger lines with at most ``GAP_LINES`` others between."""
+    hits = [i for i, line in enumerate(text.split("\n")) if TRIGGER.search(line)]
+    return sum(b - a > GAP_LINES + 1 for a, b in zip(hits, hits[1:], strict=False)) + bool(hits)
 
 
-def parts(words: list, size: int = PART_WORDS, overlap: int | None = None) -> Iterator[list]:
-    overlap = 2 * max(len(words_of(t)) for t in TEMPLATES.values()) if overlap is None else overlap
-    at = 0
-    while True:
-        yield words[at : at + size]
-        if at + size >= len(words):
-            return
-        at += size - overlap
+def blocks(text: str, context: int) -> Iterator[list[tuple[int, str]]]:
+    """What is scanned: each word with its line, of trigger lines and ``context`` words on both sides, as far as these meet."""
+    placed: list[tuple[int, str]] = []
+    spans: list[list[int]] = []
+    for i, line in enumerate(text.split("\n")):
+        begin = len(placed)
+        placed += [(i, w) for w in words_of(line)]
+        if TRIGGER.search(line):
+            low, high = max(begin - context, 0), len(placed) + context
+            if spans and low <= spans[-1][1]:
+                spans[-1][1] = high
+            else:
+                spans.append([low, high])
+    yield from (placed[a:b] for a, b in spans if placed[a:b])
 
 
 def rank(words: list[str], templates: list[Template], alone: object) -> list[tuple[float, Template]]:
-    """Templates by bytes of the block's size that they save, the most first, with the share of their own size; ties by share and name."""
+    """Templates by bytes of the block's size that they save, the most first, with the share of their own size; ties by share and name.
+
+    None is left out: in a long block a short notice may save next to nothing.
+    """
     raw = " ".join(words).encode()
     base = len(alone.compress(raw))
     saved = [(base - len(t.compressor.compress(raw)), t) for t in templates]
-    ranked = sorted((-n, -n / t.own, t.name, t) for n, t in saved if n >= LEAST_REDUCTION * t.own)
+    ranked = sorted((-n, -n / t.own, t.name, t) for n, t in saved)
     return [(-share, t) for _, share, _, t in ranked]
 
 
@@ -144,7 +143,8 @@ def differences(template: list[str], words: list[str | None]) -> tuple[int, int,
 def scan_text(text: str, templates: list[Template], alone: object) -> list[tuple[str, int, int, float, int, int]]:
     """Confirmed licences: name, first and last line, reduction, missing and extra words, in order of place."""
     found = []
-    for _, placed in blocks(text):
+    longest = max((len(t.words) for t in templates), default=0)
+    for placed in blocks(text, longest + int(TOLERANCE * longest)):
         words = [w for _, w in placed]
         places: dict[str, list[int]] = {}
         for i, w in enumerate(words):
@@ -187,7 +187,7 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None) -> D
                 for text in part.column(1).to_pylist():
                     has = bool(text) and TRIGGER.search(text) is not None
                     found = scan_text(text, known, alone) if has else []
-                    out.append((len({b for b, _ in blocks(text)}) if has else 0, len(found), ",".join(f[0] for f in found), ",".join(":".join(map(str, (*f[:3], *f[4:]))) for f in found), max((f[3] for f in found), default=None)))
+                    out.append((n_blocks(text) if has else 0, len(found), ",".join(f[0] for f in found), ",".join(":".join(map(str, (*f[:3], *f[4:]))) for f in found), max((f[3] for f in found), default=None)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_blocks", "n_licences", "licences", "spans", "reduction"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, n_blocks long, n_licences long, licences string, spans string, reduction double")

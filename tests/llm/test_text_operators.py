@@ -194,6 +194,29 @@ def test_licence_copies_of_one_block():
             assert [f[4:] for f in found] == [(0, 0) if c == exact else (1, 1) for c in copies]
 
 
+#: Paragraphs and line widths of the published texts; the others are one paragraph.
+PARAGRAPHS = {"MIT": ("The above",), "Apache-2.0": ("You may obtain", "http:", "Unless"), "GPL-3.0": ("This program is distributed",), "BSD-3-Clause": ("Redistributions of", "Redistributions in", "Neither")}
+
+
+@pytest.mark.parametrize("width", [20, 60, 72, 78])
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_licences_wrapped(name, width):
+    """Each template in lines, with blank lines between paragraphs, comment marks and text around."""
+    import textwrap
+
+    templates, alone = licenses._compressors(tuple(sorted(licenses.TEMPLATES.items())))
+    text = licenses.TEMPLATES[name]
+    for start in PARAGRAPHS.get(name, ()):
+        text = text.replace(" " + start, "\n" + start)
+    body = "\n\n".join(textwrap.fill(x, width, break_long_words=False, break_on_hyphens=False) for x in text.split("\n"))
+    around = "\n".join(["Copyright (c) 2020 of the authors", "", "{}", "", *["the words of this text and of any others are here"] * 40])
+    for mark in ("", "# ", " * "):
+        lines = around.format(body).split("\n")
+        found = licenses.scan_text("\n".join(mark + x for x in lines), templates, alone)
+        n = len(body.split("\n"))
+        assert [(*f[:3], *f[4:]) for f in found] == [(name, 2, 1 + n, 0, 0)]
+
+
 # toxicity
 
 
