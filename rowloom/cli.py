@@ -9,7 +9,9 @@ import argparse
 import json
 import sys
 import time
+from collections.abc import Iterator
 from pathlib import Path
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,8 +75,30 @@ def _timed(work, iterations: int) -> float:
     return 1000 * (time.perf_counter() - began) / iterations
 
 
-def run(argv: list[str], spark: SparkSession | None = None) -> dict | list | None:
-    """Runs a command and returns what it reports."""
+def _rows(table: DataFrame) -> Iterator[dict]:
+    """All rows, a partition in the driver at a time."""
+    return (r.asDict() for r in table.toLocalIterator())
+
+
+def emit(out: object, to: TextIO) -> None:
+    """Writes what ``run`` returns as JSON, like ``json.dumps``; iterators as lists, item by item."""
+    if isinstance(out, dict):
+        to.write("{")
+        for i, (k, v) in enumerate(out.items()):
+            to.write(f"{', ' if i else ''}{json.dumps(k)}: ")
+            emit(v, to)
+        to.write("}")
+    elif isinstance(out, Iterator):
+        to.write("[")
+        for i, v in enumerate(out):
+            to.write((", " if i else "") + json.dumps(v, default=str))
+        to.write("]")
+    else:
+        to.write(json.dumps(out, default=str))
+
+
+def run(argv: list[str], spark: SparkSession | None = None) -> dict | list | Iterator | None:
+    """Runs a command and returns what it reports: terms and row groups, of which there may be many, as iterators."""
     a = _parser().parse_args(argv)
     if a.command == "schema-check":
         found = evolution.assess(*(evolution.parse_revision(Path(p).read_text()) for p in (a.writer, a.reader)))
@@ -117,7 +141,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> dict | list | Non
         jsonl.write_jsonl(r.rows, a.output, names)
         return {"row_groups_scanned": r.row_groups_scanned, "row_groups_pruned": r.row_groups_pruned}
     if a.command == "inspect":
-        return stats.inspect_file(table).first().asDict() | {"groups": [r.asDict() for r in stats.footer(table).orderBy("row_group").limit(1000).collect()]}
+        return stats.inspect_file(table).first().asDict() | {"groups": _rows(stats.footer(table).orderBy("row_group"))}
     if a.command == "validate":
         return storage.validate(_blocks(table)).first().asDict()
     if a.command == "evolve-decode":
@@ -137,7 +161,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> dict | list | Non
     if a.command == "repair-bench":
         return {"plan_ms": _timed(lambda: storage.repair_plan(_blocks(table), has_footer=False).collect(), a.iterations)}
     if a.command == "search-inspect":
-        return [r.asDict() for r in search.dictionary(table).orderBy("term").limit(1000).collect()]
+        return _rows(search.dictionary(table).orderBy("term"))
     if a.command == "search-lookup":
         return [r.asDict() for r in search.lookup(table, a.term).orderBy("doc_id").collect()]
     if a.command == "search-seek":
@@ -166,7 +190,8 @@ def main() -> int:
         print(f"error: {e}", file=sys.stderr)
         return 1
     if out is not None:
-        print(json.dumps(out, default=str))
+        emit(out, sys.stdout)
+        print()
     return 0
 
 

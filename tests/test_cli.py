@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from rowloom import cli
 from rowloom.cli import run
 
 SCHEMA = "columns:\n- {name: id, type: u64, codec: delta_bitpack}\n- {name: service, type: string, codec: prefix, nullable: true}\n"
@@ -30,6 +31,24 @@ def test_encode_scan_decode(spark, tmp_path):
     json.dumps(run(["bench", t, "--iterations", "1"], spark))
 
 
+def test_inspect_prints_all(spark, tmp_path, monkeypatch, capsys):
+    """More than 1000 terms and row groups."""
+    spark.range(2500).selectExpr("concat('t', id) AS term", "id AS doc_id", "array(1L) AS positions").write.parquet(str(tmp_path / "i"))
+    spark.range(2500).selectExpr("id AS row_index", "id AS row_group", "id").write.parquet(str(tmp_path / "t"))
+
+    def printed(*argv):
+        monkeypatch.setattr("sys.argv", ["rowloom", *argv])
+        assert cli.main() == 0
+        return json.loads(capsys.readouterr().out)
+
+    monkeypatch.setattr(cli, "run", lambda argv: run(argv, spark))
+    terms = printed("search-inspect", str(tmp_path / "i"))
+    assert [t["term"] for t in terms] == sorted(f"t{i}" for i in range(2500)) and all(t["doc_count"] == 1 for t in terms)
+    whole = printed("inspect", str(tmp_path / "t"))
+    assert whole["row_count"] == whole["row_groups"] == 2500
+    assert whole["groups"] == [{"row_group": i, "first_row": i, "row_count": 1} for i in range(2500)]
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "s.yml").write_text(STREAM)
     log = str(tmp_path / "log")
