@@ -195,7 +195,7 @@ def number_sizes(df: DataFrame, value: str, order: str = "row_index", group: str
 
 
 def string_sizes(df: DataFrame, value: str, order: str = "row_index", group: str = "row_group", cap: int = DICTIONARY_ENTRIES) -> DataFrame:
-    """Payload bytes per group by codec, but for rle, which depends on the bytes and is left to the encoder."""
+    """Payload bytes per group by codec."""
     w = W.partitionBy(group).orderBy(order)
     size = F.octet_length("v").cast("long")
     rows = df.where(F.col(value).isNotNull()).select(group, order, F.col(value).alias("v"), F.lag(value).over(w).alias("before"))
@@ -209,7 +209,21 @@ def string_sizes(df: DataFrame, value: str, order: str = "row_index", group: str
     ids = ids.withColumn("id", (F.row_number().over(W.partitionBy(group).orderBy("first")) - 1).cast("long"))
     entry = ids.groupBy(group).agg(F.count(F.lit(1)).alias("entries"), F.sum(stored + F.col("n") * P.varint_length(F.col("id"))).cast("long").alias("bytes"))
     dictionary = F.when(F.col("entries") <= cap, F.col("bytes") + P.varint_length(F.col("entries")))
-    return plain.join(entry, group).select(group, "value_count", "prefix", dictionary.alias("dictionary"), "stored")
+    out = plain.join(entry, group).select(group, "value_count", "prefix", dictionary.alias("dictionary"), "stored")
+    return out.join(_rle_sizes(rows, order, group), group)
+
+
+def _rle_sizes(rows: DataFrame, order: str, group: str) -> DataFrame:
+    """Bytes of the stored form (lengths and values) of the values ``v``, run-length encoded: two for each run of at most 255."""
+    rows = rows.select(group, order, F.encode("v", "UTF-8").alias("raw")).withColumn("size", F.octet_length("raw").cast("long"))
+    rows = rows.withColumn("parts", P.varint_length(F.col("size"))).withColumn("digits", F.hex("raw"))
+    length = F.expr("transform(sequence(0, CAST(parts AS INT) - 1), k -> lpad(hex(shiftright(size, 7 * k) & 127 | IF(k < parts - 1, 128, 0)), 2, '0'))")
+    value = F.expr("IF(size = 0, CAST(array() AS ARRAY<STRING>), transform(sequence(0, CAST(size AS INT) - 1), i -> substr(digits, 2 * i + 1, 2)))")
+    stream = rows.select(group, order, F.posexplode(F.concat(length, value)).alias("at", "byte"))
+    w = W.partitionBy(group).orderBy(order, "at")
+    begins = stream.withColumn("begins", (~F.col("byte").eqNullSafe(F.lag("byte").over(w))).cast("long"))
+    runs = begins.withColumn("run", F.sum("begins").over(w)).groupBy(group, "run").agg(F.count(F.lit(1)).alias("n"))
+    return runs.groupBy(group).agg(F.sum(2 * F.ceil(F.col("n") / 255)).cast("long").alias("rle"))
 
 
 def prefix_length(before, value):
@@ -222,7 +236,9 @@ def prefix_length(before, value):
 
 
 def auto_codec(sizes: DataFrame, kind: str, group: str = "row_group") -> DataFrame:
-    """The smallest codec per group; ties go to the earlier candidate, codecs without a size are passed over."""
+    """The smallest codec per group; ties go to the earlier candidate, codecs without a size in a group are passed over. Strings need all candidates' columns."""
+    if kind == "string" and (missing := [c for c in CANDIDATES[kind] if c not in sizes.columns]):
+        raise ValueError(f"no sizes of {', '.join(missing)}")
     names = [c for c in CANDIDATES[kind] if c in sizes.columns]
     options = F.array(*(F.struct((F.col(c) + CODEC_METADATA[c]).alias("size"), F.lit(i).alias("rank"), F.lit(c).alias("codec")) for i, c in enumerate(names)))
     best = F.array_min(F.filter(options, lambda o: o["size"].isNotNull()))

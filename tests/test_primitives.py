@@ -137,3 +137,16 @@ def test_size_models_equal_encoders(spark):
     assert best == {g: C.choose("u64", [x[2] for x in rows if x[1] == g]) for g in best}
     for r in C.encode_column(df, "s", "string", "prefix").collect():
         assert C.decode_strings("prefix", bytes(r.payload), r["count"]) == [x[3] for x in rows if x[1] == r.row_group and x[3] is not None]
+
+
+def test_string_choice_is_the_encoders(spark):
+    """Sizes and choice of strings with runs of one byte, also across values, against the encoder."""
+    groups = {0: ["a" * 600, "b" * 300], 1: ["x", "yz", "x"], 2: ["\x01"] * 300, 3: ["", "", "é" * 200], 4: ["k" * 127, "k" * 128, "\x7f" * 127], 5: ["same words"] * 20, 6: [""]}
+    df = spark.createDataFrame([(g, i, v) for g, vs in groups.items() for i, v in enumerate([*vs, None])], "row_group long, row_index long, s string")
+    sizes = C.string_sizes(df, "s")
+    for r in sizes.collect():
+        assert {c: r[c] for c in C.CANDIDATES["string"]} == {c: len(C.encode_strings(c, groups[r.row_group])) for c in C.CANDIDATES["string"]}
+    got = {r.row_group: (r.codec, r.encoded_size) for r in C.auto_codec(sizes, "string").collect()}
+    assert got == {g: C.choose("string", vs) for g, vs in groups.items()} and "rle" in {c for c, _ in got.values()}
+    with pytest.raises(ValueError):
+        C.auto_codec(sizes.drop("rle"), "string")
