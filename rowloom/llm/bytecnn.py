@@ -24,8 +24,8 @@ CHUNK, STEP = 256, 240
 WIDTH, STRIDE = 8, 2
 EMBED, FILTERS, HIDDEN = 4, 24, 16
 PAD = 256
-#: Bounds of the labelled sample: rows and characters of a text.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
+#: Bounds of the labelled sample: rows, and bytes of all their texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 24 << 20
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 THRESHOLD = 0.3
 CHUNKS_AT_ONCE = 512
@@ -147,9 +147,9 @@ def fit(rows: list[tuple[str, int]], epochs: int = 10, batch: int = 32, rate: fl
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_chars: int = SAMPLE_CHARS) -> Network:
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Network:
     """Fitted on a sample of the labelled rows that are not held out."""
-    return fit([(text, y) for _, text, y in sample(docs, labels, "quality", rows, most_chars, fold_of(F.col("doc_id")) != 0)])
+    return fit([(text, y) for _, text, y in sample(docs, labels, "quality", rows, most_bytes, fold_of(F.col("doc_id")) != 0)])
 
 
 def score_documents(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:

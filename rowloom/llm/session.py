@@ -6,7 +6,6 @@ folder that driver and executors share, so that they outlive lost executors.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -14,12 +13,17 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one is set only where none is named (tests)."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    A session on one machine (``local[...]``) that names none gets a folder under its
+    warehouse. On a cluster that would be one machine's disk, so there it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="rowloom-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -45,11 +49,18 @@ class Scratch:
         return out
 
     def free(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._rowloom_path)
-            path.getFileSystem(conf).delete(path, True)
+            remove(self.spark, t._rowloom_path)
+
+    def close(self) -> None:
+        """Removes all tables of the run; only for runs whose result doesn't read them any more."""
+        remove(self.spark, self.root)
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def rows_of(table: DataFrame) -> int:

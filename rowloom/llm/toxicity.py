@@ -4,7 +4,13 @@ Categories are predicted one after another. Each has a logistic model over the w
 and word beginnings of a text and the probabilities of the categories before it; for
 training, these come from models that did not see the row (out of fold), so that a
 later model learns from probabilities as good as those it gets when it scores.
-The last category is the label ``toxic`` itself, and decides.
+The last category is the label ``toxic`` itself, and decides. The categories before it
+are kinds of toxic rows that the labels themselves show: the rows with the word that
+most toxic rows have and few others, then of the rest those with the next such word, and
+what remains. No word is given from outside.
+
+Features are taken on the executors: the driver gets the numbers of the features that
+tell toxic rows from others, never texts.
 """
 
 from __future__ import annotations
@@ -14,28 +20,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import sample
-from .session import bound_batches
-from .textbytes import SPACED_WORD, Run, ascii_fold, byte_class, find_words, mix, runs
+from .labelled import choose, labelled_texts
+from .session import Scratch, bound_batches
+from .textbytes import SPACED_WORD, Run, ascii_fold, byte_class, find_words, runs
 
-#: Bounds of the labelled sample: rows and characters of a text.
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
+#: Bound of the labelled sample, in rows.
+SAMPLE_ROWS = 6000
 FOLDS = 5
 #: Word beginnings, in bytes, that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7)
 #: A feature is used where at least so many positive rows have it; so many of the strongest are kept.
 LEAST_ROWS, MOST_FEATURES = 3, 600
-
-#: Seed words of the categories before the last: fixed values.
-CATEGORY_WORDS = {
-    "insult": ("idiot", "moron", "stupid", "loser", "clown", "fool"),
-    "contempt": ("trash", "pathetic", "disgusting", "worthless", "scum", "garbage"),
-}
-#: The chain: seeded categories, toxic rows without any seed word, the label.
-CHAIN = (*CATEGORY_WORDS, "other", "toxic")
+#: Features that go to the driver: the strongest by log ratio times rows, of those with at least so large a log ratio over the whole sample.
+SENT_FEATURES, SENT_RATIO = 4 * MOST_FEATURES, 1.0
+#: Kinds of toxic rows before the label itself; the last kind is what no word of the others covers.
+KINDS = 3
+CHAIN = (*(f"kind_{i}" for i in range(1, KINDS + 1)), "toxic")
+_WORD_MARK = np.uint64(1 << 63)
 
 _LETTERS = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)) & SPACED_WORD
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -50,11 +54,11 @@ def features(run: Run) -> tuple[np.ndarray, np.ndarray]:
     padded = np.concatenate((fold[run.data], np.zeros(8, np.uint8)))
     head = np.ascontiguousarray(padded[words.start[:, None] + np.arange(8)[None, :]]).view(np.uint64)[:, 0]
     size = words.end - words.start
-    text, value = [words.text], [words.hash | np.uint64(1 << 63)]
+    text, value = [words.text], [words.hash | _WORD_MARK]
     for n in BEGINNINGS:
         longer = size >= n
         text.append(words.text[longer])
-        value.append((head[longer] & (_ONES >> np.uint64(64 - 8 * n))) ^ np.uint64(n << 56))
+        value.append(((head[longer] & (_ONES >> np.uint64(64 - 8 * n))) ^ np.uint64(n << 56)) & ~_WORD_MARK)
     text, value = np.concatenate(text), np.concatenate(value)
     order = np.lexsort((value, text))
     text, value = text[order], value[order]
@@ -135,44 +139,33 @@ class Chain:
         return out
 
 
-def category_labels(texts: list[str], toxic: list[int]) -> dict[str, np.ndarray]:
-    """0/1 per category of the chain, from the label and the seed words."""
-    import re
-
-    seeds = {w for words in CATEGORY_WORDS.values() for w in words}
-    seen = [seeds.intersection(re.findall(r"[a-z]+", t.lower())) for t in texts]
-    out = {name: np.array([int(y and bool(s & set(words))) for s, y in zip(seen, toxic, strict=True)]) for name, words in CATEGORY_WORDS.items()}
-    out["other"] = np.array([int(y and not any(out[n][i] for n in CATEGORY_WORDS)) for i, y in enumerate(toxic)])
-    return out | {"toxic": np.array(toxic)}
-
+def category_labels(text: np.ndarray, value: np.ndarray, toxic: np.ndarray, kinds: int = KINDS) -> dict[str, np.ndarray]:
+    """0/1 per category of the chain, from the label and the (row, feature) pairs.
 
-def fit_chain(texts: list[str], labels: dict[str, np.ndarray], names: tuple[str, ...] = CHAIN, folds: int = FOLDS) -> Chain:
-    """``labels``: 0/1 per row for each name. Equal texts share a fold. The threshold is the best F1 out of fold."""
-    import zlib
-
-    rows = len(texts)
-    raw = [t.encode() for t in texts]
-    bounds = np.concatenate(([0], np.cumsum([len(r) for r in raw], dtype=np.int64)))
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    parts, at = [], 0
-    while at < rows:
-        end = min(rows, max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 20), "right")) - 1))
-        t, v = features(Run(at, end, data[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at]))
-        parts.append((t + at, v))
-        at = end
-    # Most features are of one row: a table of 2^22 counts rules them out before the sort.
-    slot = lambda v: (mix(v) >> np.uint64(42)).astype(np.int64)
-    seen = np.zeros(1 << 22, np.int32)
-    for _, v in parts:
-        np.add.at(seen, slot(v), 1)
-    parts = [(t[keep], v[keep]) for t, v in parts for keep in [seen[slot(v)] >= LEAST_ROWS]]
-    text = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-    value = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
-    del parts
-    distinct, number, counts = np.unique(value, return_inverse=True, return_counts=True)
-    often = counts[number] >= LEAST_ROWS
-    text, value, number = text[often], value[often], number[often]
-    fold = np.array([zlib.crc32(r) % folds for r in raw], np.int64)
+    Each kind but the last is the toxic rows, not yet of a kind, with the word that most of
+    them have, among words of which toxic rows make up nine in ten of its rows at least; ties go to the least hash.
+    """
+    rest = toxic == 1
+    out: dict[str, np.ndarray] = {}
+    words = (value & _WORD_MARK) != 0
+    distinct, number = np.unique(value[words], return_inverse=True)
+    row = text[words]
+    in_toxic = np.bincount(number[toxic[row] == 1], minlength=len(distinct))
+    telling = 10 * in_toxic >= 9 * np.bincount(number, minlength=len(distinct))
+    for i in range(1, kinds):
+        counts = np.where(telling, np.bincount(number[rest[row]], minlength=len(distinct)), 0)
+        has = np.zeros(len(toxic), bool)
+        if len(counts) and counts.max() >= LEAST_ROWS:
+            has[row[number == counts.argmax()]] = True
+        out[f"kind_{i}"] = (rest & has).astype(np.int64)
+        rest &= ~has
+    return out | {f"kind_{kinds}": rest.astype(np.int64), "toxic": toxic.astype(np.int64)}
+
+
+def fit_chain(text: np.ndarray, value: np.ndarray, fold: np.ndarray, labels: dict[str, np.ndarray], names: tuple[str, ...] = CHAIN, folds: int = FOLDS) -> Chain:
+    """``text``, ``value``: (row, feature) pairs. ``labels``: 0/1 per row for each name. The threshold is the best F1 out of fold."""
+    rows = len(fold)
+    distinct, number = np.unique(value, return_inverse=True)
     held, models = np.zeros((rows, len(names))), []
     for i, name in enumerate(names):
         y = labels[name]
@@ -193,10 +186,43 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(tries[best[len(best) // 2]])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_chars: int = SAMPLE_CHARS) -> Chain:
-    found = sample(docs, labels, "toxic", rows, most_chars)
-    texts = [t for _, t, _ in found]
-    return fit_chain(texts, category_labels(texts, [y for *_, y in found]))
+def _row_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, label) to (doc_id, label, fold, features); equal texts have one fold."""
+    import zlib
+
+    for batch in batches:
+        for run in runs(batch.column(1)):
+            part = batch.slice(run.first, run.last - run.first)
+            text, value = features(run)
+            at = np.searchsorted(text, np.arange(run.last - run.first + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(value.view(np.int64)))
+            fold = [zlib.crc32(run.data[a:b].tobytes()) % FOLDS for a, b in zip(run.bounds[:-1], run.bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fold, pa.int32()), lists], names=["doc_id", "label", "fold", "features"])
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, keep: Column | None = None) -> Chain:
+    """Fitted on at most ``rows`` labelled rows (of those that ``keep`` takes), whole texts.
+
+    A row with a null id, text or label is not fitted on; without any rows of either label the chain knows only its bias.
+    """
+    bound_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    found = labelled_texts(docs, choose(labels, "toxic", rows, keep)).dropDuplicates(["doc_id", "text"])
+    table = scratch.keep(found.mapInArrow(_row_features, "doc_id long, label int, fold int, features array<long>"))
+    per_row = table.select("doc_id", "label", "fold", F.explode("features").alias("feature"))
+    n = table.agg(F.count_if(F.col("label") == 1).alias("yes"), F.count_if(F.col("label") == 0).alias("no")).first()
+    counts = per_row.groupBy("feature").agg(F.count_if(F.col("label") == 1).alias("yes"), F.count_if(F.col("label") == 0).alias("no")).where(F.col("yes") >= LEAST_ROWS)
+    ratio = F.log((F.col("yes") + 0.5) / (n.yes + 1)) - F.log((F.col("no") + 0.5) / (n.no + 1))
+    best = counts.select("feature", ratio.alias("ratio"), (ratio * F.col("yes")).alias("strength")).where(F.col("ratio") > SENT_RATIO).orderBy(F.desc("strength"), "feature").limit(SENT_FEATURES).select("feature")
+    telling = per_row.join(F.broadcast(best), "feature").groupBy("doc_id", "label", "fold").agg(F.sort_array(F.collect_set("feature")).alias("features"))
+    # Bounded by the sample's rows, each with some of ``SENT_FEATURES`` numbers.
+    with_any = {(r.doc_id, r.label, r.fold): r.features for r in telling.collect()}
+    rows_of_sample = sorted(map(tuple, table.select("doc_id", "label", "fold").distinct().collect()))
+    scratch.close()
+    text = np.repeat(np.arange(len(rows_of_sample)), [len(with_any.get(k, ())) for k in rows_of_sample]).astype(np.int64)
+    value = np.array([f for k in rows_of_sample for f in with_any.get(k, ())], np.int64).view(np.uint64)
+    toxic, fold = np.array([k[1] for k in rows_of_sample], np.int64), np.array([k[2] for k in rows_of_sample], np.int64)
+    return fit_chain(text, value, fold, category_labels(text, value, toxic))
 
 
 def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -222,7 +248,10 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the chain does not reject."""
+    """The rows of ``docs``, with all their columns, that the chain does not reject.
+
+    A null text counts as empty: it has no features, so the bias alone judges it, and it stays. Repeated rows are judged alike.
+    """
     bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
 

@@ -1,14 +1,17 @@
 """Operators that read each text once, against plain versions."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers as PT
 import pytest
 
-from rowloom.llm import bytebpe, bytecnn, fertility, licenses, toxicity, winnowing
+from rowloom.llm import bytebpe, bytecnn, fertility, labelled, licenses, toxicity, winnowing
+from rowloom.llm.textbytes import Run
 
 RANKS = PT.path("byte_bpe_multi_50k.tiktoken")
 PIECES = PT.path("piece_bpe_32k.model")
@@ -220,6 +223,10 @@ def test_licences_wrapped(name, width):
 # toxicity
 
 
+#: Words of the tests alone: the chain has no word list.
+BAD = ("grolsk", "vumptik", "zerrund", "vequa", "vequo")
+
+
 def toxic_rows(n, seed):
     rng = random.Random(seed)
     out = []
@@ -227,27 +234,52 @@ def toxic_rows(n, seed):
         w = [rng.choice(["the", "of", "and", "thin", "ered", "onth"]) + rng.choice(["", "er", "ing"]) for _ in range(40)]
         bad = rng.random() < 0.3
         if bad:
-            w[rng.randrange(40)] = rng.choice(["idiot", "trash", "scum", "vequ" + rng.choice(["a", "o", "er"])])
+            w[rng.randrange(40)] = rng.choice(BAD)
         out.append((" ".join(w), int(bad)))
     return out
 
 
-def test_toxicity_chain(make_docs, hard_docs, no_docs):
+def plain_chain(chain, text):
+    """Probabilities by the definition: words and word beginnings, one text, one model after another."""
+    out = []
+    words = {w for w in re.findall("[a-z\x80-\xff]+", text.encode().decode("latin-1").translate({c: c + 32 for c in range(65, 91)}))}
+    numbers = {int(v) for w in words for v in toxicity.features(Run(0, 1, np.frombuffer(w.encode("latin-1"), np.uint8), np.array([0, len(w)])))[1]}
+    for model in chain.models:
+        logit = model.bias + sum(w for f, w in zip(model.features.tolist(), model.weights.tolist(), strict=True) if f in numbers)
+        logit += sum(w * p for w, p in zip(model.earlier.tolist(), out, strict=True))
+        out.append(1 / (1 + math.exp(-min(30, max(-30, logit)))))
+    return out
+
+
+def test_toxicity_chain(spark, make_docs, hard_docs, no_docs):
     train, test = toxic_rows(600, 1), toxic_rows(200, 2)
-    texts, labels = [t for t, _ in train], [y for _, y in train]
-    categories = toxicity.category_labels(texts, labels)
-    assert ((categories["insult"] | categories["contempt"] | categories["other"]) == categories["toxic"]).all()
-    chain = toxicity.fit_chain(texts, categories)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(train)] + [(None, 1), (3, None), (4, 7)], "doc_id long, toxic int")
+    chain = toxicity.train(make_docs([t for t, _ in train]), labels)
     assert [len(m.earlier) for m in chain.models] == [0, 1, 2, 3]
-    got = {r.doc_id: r for r in toxicity.score_documents(make_docs([t for t, _ in test]), chain).collect()}
+    texts = [t for t, _ in test] + ["", "Grölsk GROLSK\n" * 3, "x" * 5000]
+    got = {r.doc_id: r for r in toxicity.score_documents(make_docs(texts), chain).collect()}
     assert np.mean([got[i].predicted == y for i, (_, y) in enumerate(test)]) > 0.97
+    for i, t in enumerate(texts):
+        assert np.allclose([got[i].p_kind_1, got[i].p_kind_2, got[i].p_kind_3, got[i].score], plain_chain(chain, t), atol=1e-9)
+        assert got[i].rejected == (got[i].score >= chain.threshold)
     kept = toxicity.drop_toxic(make_docs([t for t, _ in test]), chain).collect()
-    assert {r.doc_id for r in kept} == {i for i, r in got.items() if not r.rejected}
+    assert {r.doc_id for r in kept} == {i for i in range(len(test)) if not got[i].rejected}
     hard = toxicity.score_documents(hard_docs, chain).collect()
     assert len(hard) == 8 and not any(r.rejected for r in hard)
+    assert toxicity.drop_toxic(hard_docs, chain).columns == hard_docs.columns
     assert toxicity.score_documents(no_docs, chain).collect() == []
 
 
+def test_toxicity_kinds():
+    """The word of most toxic rows first; a word of clean rows names no kind; what remains is the last kind."""
+    mark = 1 << 63
+    rows = [({1, 9}, 1), ({1}, 1), ({1, 2}, 1), ({2}, 1), ({2, 9}, 1), ({2}, 1), ({9}, 1), ({9}, 0), ({9}, 0), (set(), 1)]
+    text = np.array([i for i, (f, _) in enumerate(rows) for _ in f])
+    value = np.array([mark | x for f, _ in rows for x in f], np.uint64)
+    got = toxicity.category_labels(text, value, np.array([y for _, y in rows]))
+    assert {k: v.tolist() for k, v in got.items()} == {"kind_1": [0, 0, 1, 1, 1, 1, 0, 0, 0, 0], "kind_2": [0] * 10, "kind_3": [1, 1, 0, 0, 0, 0, 1, 0, 0, 1], "toxic": [y for _, y in rows]}
+
+
 def test_toxicity_without_labels(spark, make_docs):
     chain = toxicity.train(make_docs(["a", "b"]), spark.createDataFrame([], "doc_id long, toxic int"))
     assert all(not r.rejected for r in toxicity.score_documents(make_docs(["a", None]), chain).collect())
@@ -293,6 +325,31 @@ def test_network_covers_whole_text():
     assert (np.concatenate([*(c[: bytecnn.STEP] for c in last[:-1]), last[-1][last[-1] != bytecnn.PAD]]) == data[257:]).all()
 
 
+def plain_network(net, text):
+    """The score by the definition, one window at a time."""
+    raw = text.encode()
+    starts = [0]
+    while starts[-1] + bytecnn.CHUNK < len(raw):
+        starts.append(starts[-1] + bytecnn.STEP)
+    top = np.full(bytecnn.HIDDEN, -np.inf)
+    for at in starts:
+        chunk = list(raw[at : at + bytecnn.CHUNK]) + [bytecnn.PAD] * (bytecnn.CHUNK - len(raw[at : at + bytecnn.CHUNK]))
+        windows = [np.concatenate([net.embed[b] for b in chunk[i : i + bytecnn.WIDTH]]) @ net.filters + net.filter_bias for i in range(0, bytecnn.CHUNK - bytecnn.WIDTH + 1, bytecnn.STRIDE)]
+        h = np.maximum(np.max(windows, 0), 0)
+        top = np.maximum(top, np.maximum(h @ net.hidden + net.hidden_bias, 0))
+    return 1 / (1 + math.exp(-float((top @ net.out + net.out_bias).item())))
+
+
+def test_labelled_sample_is_bounded(spark, make_docs):
+    """By rows and by all bytes together: a text that doesn't fit is passed over, whole, and others follow."""
+    docs = make_docs(["a" * 100, "é" * 400, "c" * 50, None, "d" * 30])
+    labels = spark.createDataFrame([(i, 1) for i in range(6)] + [(0, 1)], "doc_id long, quality int")
+    got = labelled.sample(docs, labels, "quality", 10, 200)
+    assert [(i, len(t)) for i, t, _ in got] == [(0, 100), (2, 50), (4, 30)]
+    assert len(labelled.sample(docs, labels, "quality", 2, 10_000)) <= 2
+    assert labelled.sample(docs, labels.limit(0), "quality", 10, 200) == []
+
+
 def test_network_learns(spark, make_docs, hard_docs, no_docs):
     rng = random.Random(7)
     good = lambda: " ".join(rng.choice(["the", "of", "thin", "ered", "and"]) + rng.choice(["", "er", "ing"]) for _ in range(rng.randrange(20, 200)))
@@ -302,8 +359,8 @@ def test_network_learns(spark, make_docs, hard_docs, no_docs):
     got = bytecnn.score_documents(docs, net).collect()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.held_out]) > 0.95
-    import zlib
-
+    for i in (0, 1, 17):
+        assert abs(next(r.score for r in got if r.doc_id == i) - plain_network(net, texts[i])) < 1e-4
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     assert len(bytecnn.score_documents(hard_docs, net).collect()) == 8
     assert bytecnn.score_documents(no_docs, net).collect() == []
