@@ -84,19 +84,30 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def distinct_buckets(members: DataFrame) -> DataFrame:
-    """``members`` (bucket, node) of buckets with two nodes or more; of buckets with the same nodes one stays."""
+    """``members`` (bucket, node, ...) of buckets with two nodes or more; of buckets with the same nodes one stays."""
     buckets = members.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"),
         F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "node"), 20)).alias("s"),
     ).where("low <> high")
     kept = buckets.groupBy("n", "low", "high", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return members.join(kept, "bucket")
+    return members.join(kept, "bucket", "left_semi")
+
+
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, one a node at most: the node, and of the heaviest nodes of its buckets the heaviest.
+
+    The most frequent of near copies is mostly the one that the others were made from, so
+    these pairs alone join most groups.
+    """
+    heavy = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node").cast("decimal(20)")).alias("order"), "node")).alias("rep"))
+    best = members.join(heavy, "bucket").groupBy("node").agg(F.max("rep").alias("rep"))
+    return best.select("node", F.col("rep.node").alias("rep")).where("node <> rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
 
 
 def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, python: bool = False) -> tuple[DataFrame, DataFrame]:
     """(node, comp) of the nodes in groups of two or more, and the pairs (a, b) that were verified.
 
-    ``members`` (bucket, node): distinct rows, of ``distinct_buckets``, kept. ``verify``
+    ``members`` (bucket, node, weight): distinct rows, of ``distinct_buckets``, kept. ``verify``
     takes kept pairs (a, b), a < b, and returns those that are linked. ``python`` as in ``components``.
     """
     spark = scratch.spark
@@ -105,9 +116,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
     compared, round_no = spark.createDataFrame([], "a long, b long").coalesce(1), 0
     while True:
         if round_no == 0:
-            # One pair a node: with the least node that shares a bucket with it.
-            low = members.groupBy("bucket").agg(F.min("node").alias("rep"))
-            pairs = members.join(low, "bucket").where("node <> rep").groupBy("node").agg(F.min("rep").alias("a")).select("a", F.col("node").alias("b"))
+            pairs = stars(members)
         else:
             of_node = labels.select(F.col("node").alias("n"), "comp")
             now = near(scratch.keep(members.join(of_node, F.col("node") == F.col("n"), "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))))
