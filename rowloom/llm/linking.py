@@ -93,22 +93,24 @@ def distinct_buckets(members: DataFrame) -> DataFrame:
     return members.join(kept, "bucket", "left_semi")
 
 
-def stars(members: DataFrame) -> DataFrame:
+def stars(members: DataFrame, alike: str) -> DataFrame:
     """Pairs (a, b), a < b, one a node at most: the node, and of the heaviest nodes of its buckets the heaviest.
 
     The most frequent of near copies is mostly the one that the others were made from, so
     these pairs alone join most groups.
     """
-    heavy = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node").cast("decimal(20)")).alias("order"), "node")).alias("rep"))
-    best = members.join(heavy, "bucket").groupBy("node").agg(F.max("rep").alias("rep"))
-    return best.select("node", F.col("rep.node").alias("rep")).where("node <> rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
+    heavy = members.groupBy("bucket").agg(F.max(F.struct("weight", "node", "size")).alias("rep"))
+    both = members.join(heavy, "bucket").withColumns({"a_size": F.col("size"), "b_size": F.col("rep.size")}).where(f"node <> rep.node AND {alike}")
+    best = both.groupBy("node").agg(F.max("rep").alias("rep"))
+    return best.select(F.least("node", "rep.node").alias("a"), F.greatest("node", "rep.node").alias("b")).distinct()
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, python: bool = False) -> tuple[DataFrame, DataFrame]:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, alike: str = "true", python: bool = False) -> tuple[DataFrame, DataFrame]:
     """(node, comp) of the nodes in groups of two or more, and the pairs (a, b) that were verified.
 
-    ``members`` (bucket, node, weight): distinct rows, of ``distinct_buckets``, kept. ``verify``
-    takes kept pairs (a, b), a < b, and returns those that are linked. ``python`` as in ``components``.
+    ``members`` (bucket, node, weight, size): distinct (bucket, node), of ``distinct_buckets``,
+    kept. ``verify`` takes kept pairs (a, b), a < b, and returns those that are linked; only
+    pairs for whose sizes ``alike`` (of a_size and b_size, symmetric) holds are handed to it. ``python`` as in ``components``.
     """
     spark = scratch.spark
     members = near(members)
@@ -116,26 +118,28 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
     compared, round_no = spark.createDataFrame([], "a long, b long").coalesce(1), 0
     while True:
         if round_no == 0:
-            pairs = stars(members)
+            pairs = stars(members, alike)
         else:
             of_node = labels.select(F.col("node").alias("n"), "comp")
-            now = near(scratch.keep(members.join(of_node, F.col("node") == F.col("n"), "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))))
-            per = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("rep"))
+            now = near(scratch.keep(members.join(of_node, F.col("node") == F.col("n"), "left").select("bucket", "node", "size", F.coalesce("comp", "node").alias("comp"))))
+            per = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("first"))
             order = W.partitionBy("bucket").orderBy("n", "comp")
             ranked = per.withColumn("rank", F.row_number().over(order)).withColumn("upto", F.sum("n").over(order)).withColumn("groups", F.count(F.lit(1)).over(W.partitionBy("bucket"))).where("groups > 1")
             most = REPS_GROWTH**round_no
             # Whole small groups, but never the largest; of the groups beyond, one node each.
             whole = (F.col("rank") < F.col("groups")) & (F.col("upto") <= most)
-            one = ranked.where(~whole & (F.col("rank") <= most)).select("bucket", "rep", F.col("comp").alias("rep_comp"))
-            all_of = now.join(ranked.where(whole).select("bucket", "comp"), ["bucket", "comp"]).select("bucket", F.col("node").alias("rep"), F.col("comp").alias("rep_comp"))
+            rep = lambda node, size: ["bucket", F.col(node).alias("rep"), F.col(size).alias("b_size"), F.col("comp").alias("rep_comp")]
+            one = ranked.where(~whole & (F.col("rank") <= most)).select(*rep("first.node", "first.size"))
+            all_of = now.join(ranked.where(whole).select("bucket", "comp"), ["bucket", "comp"]).select(*rep("node", "size"))
             reps = scratch.keep(one.unionByName(all_of))
             if not rows_of(reps):
                 break
             reps = near(reps)
-            pairs = now.join(reps, "bucket").where("comp <> rep_comp").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
+            met = now.withColumnRenamed("size", "a_size").join(reps, "bucket").where(f"comp <> rep_comp AND {alike}")
+            pairs = met.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
             # What was compared with all others leaves its bucket; buckets of one group close.
             active = now.join(reps.select("bucket").distinct(), "bucket", "left_semi")
-            members = active.join(reps.select("bucket", F.col("rep").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
+            members = active.join(reps.select("bucket", F.col("rep").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "size")
         pairs = scratch.keep(pairs)
         edges = scratch.keep(verify(pairs)) if rows_of(pairs) else pairs
         compared = near(scratch.keep(compared.unionByName(pairs)))
