@@ -25,7 +25,7 @@ REPS_GROWTH = 4
 #: Edges that one task may join.
 TASK_EDGES = 500_000
 #: Kept tables of so many rows (of a few numbers each) are worked on in one task, without a shuffle, and are broadcast.
-SMALL_ROWS = 200_000
+SMALL_ROWS = 50_000
 
 
 def near(table: DataFrame) -> DataFrame:

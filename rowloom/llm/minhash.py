@@ -4,8 +4,12 @@ A document is the set of its word shingles. Two collections of ``REPEATS`` small
 hashes, each of ``ROWS`` minhashes, are made of it; a table key is a pair of one hash
 of either collection. So REPEATS^2 keys of 2 * ROWS minhashes come from only
 2 * REPEATS * ROWS of them. Documents of similarity s share a key with probability
-(1 - (1 - s^ROWS)^REPEATS)^2. A pair key can only be shared if both its halves are, so
-keys are written for shared halves alone. Pairs are confirmed on their full sets.
+(1 - (1 - s^ROWS)^REPEATS)^2. Pairs are confirmed on their full sets.
+
+First come the keys of equal places in both collections, where each document meets the most
+frequent of its buckets; that joins most groups. Documents of different groups that share
+any other key then meet at a shared hash of the first collection (``tiles.py``), where keys
+with each hash of the second are looked up and most pairs are ruled out by a bound.
 """
 
 from __future__ import annotations
@@ -17,16 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import attach, distinct_buckets, link, merge, near
+from . import tiles
+from .linking import attach, distinct_buckets, merge, near, stars
 from .session import Scratch, bound_batches, rows_of
 from .textbytes import SPACED_WORD, Run, ascii_fold, find_words, grams, mix, runs
 
 SHINGLE, SIMILARITY = 5, 80
-REPEATS, ROWS = 20, 4
-#: Up to so many documents that share a key, their numbers (8 bytes each) go to the tasks; beyond, they are joined.
+REPEATS, ROWS = 28, 6
+#: Up to so many numbers (8 bytes each) of documents or buckets are broadcast; beyond, they are joined.
 SENT_NODES = 1_000_000
 
-_SEEDS = mix(np.arange(1, 1 + 2 * REPEATS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix(np.arange(1, 1 + 4 * REPEATS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FLIPS, _FACTORS = np.split((_SEEDS >> np.uint64(32)).astype(np.uint32), 2)
+_FACTORS = (_FACTORS | np.uint32(1))[:, None]
+_FLIPS = _FLIPS[:, None]
 
 
 def shingle_sets(run: Run, shingle: int) -> list[np.ndarray]:
@@ -53,12 +61,12 @@ def set_key(hashes: np.ndarray) -> int:
 
 
 def half_hashes(hashes: np.ndarray) -> np.ndarray:
-    """2 * REPEATS small hashes of a set, each of ROWS minhashes."""
-    least = np.full(len(_SEEDS), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for i in range(0, len(hashes), 512):
-        x = (_SEEDS[:, None] ^ hashes[None, i : i + 512]) * np.uint64(0xFF51AFD7ED558CCD)
-        np.minimum(least, (x ^ (x >> np.uint64(32))).min(1), out=least)
-    return grams_of_rows(mix(least).reshape(2 * REPEATS, ROWS)).view(np.int64)
+    """2 * REPEATS small hashes of a set, each of ROWS minhashes of 32 bits."""
+    least = np.full(2 * REPEATS * ROWS, np.uint32(0xFFFFFFFF))
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(short), 256):
+        np.minimum(least, ((short[None, i : i + 256] ^ _FLIPS) * _FACTORS).min(1), out=least)
+    return grams_of_rows(mix(least.astype(np.uint64)).reshape(2 * REPEATS, ROWS)).view(np.int64)
 
 
 def grams_of_rows(rows: np.ndarray) -> np.ndarray:
@@ -83,19 +91,15 @@ def _signatures(shingle: int):
     return work
 
 
-def _sets(shingle: int, wanted: np.ndarray | None):
-    """(node, hashes) of the texts whose node is wanted."""
+def _sets(shingle: int):
+    """(node, hashes) of the texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in runs(batch.column(0)):
-                found = [(set_key(s), s) for s in shingle_sets(run, shingle) if len(s)]
-                if wanted is not None and found:
-                    keys = np.array([k for k, _ in found])
-                    at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                    found = [f for f, ok in zip(found, wanted[at] == keys, strict=True) if ok]
+                found = [s for s in shingle_sets(run, shingle) if len(s)]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["node", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "hashes"])
 
     return work
 
@@ -114,35 +118,6 @@ def _confirm(similarity: int):
     return work
 
 
-def _equal_places(own: DataFrame) -> DataFrame:
-    """(bucket, node): the keys of halves at equal places of both collections, at most REPEATS a document."""
-    side = lambda test: F.filter("halves", test)
-    first = own.select("node", F.explode(side(lambda h: h["half"] < REPEATS)).alias("x"), side(lambda h: h["half"] >= REPEATS).alias("second"))
-    pairs = first.select("node", "x", F.explode(F.filter("second", lambda y: y["half"] == F.col("x.half") + REPEATS)).alias("y"))
-    return pairs.select(F.xxhash64("x.half", "x.hash", "y.hash").alias("bucket"), "node")
-
-
-def _other_pairs(signed: DataFrame, own: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of different groups that share any key, that is a half of either collection, each pair once.
-
-    Documents meet at a shared half of the first collection, if it is the first that they
-    share and if they share one of the second. Halves that one group has alone are left out.
-    """
-    halves = own.select("node", F.explode("halves").alias("h")).where(F.col("h.half") < REPEATS)
-    halves = halves.join(labels, "node", "left").select("node", "h.half", "h.hash", F.coalesce("comp", "node").alias("comp"))
-    across = halves.groupBy("half", "hash").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("half", "hash")
-    halves = halves.join(across, ["half", "hash"], "left_semi")
-    whole = signed.join(halves.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("halves").alias("all"))
-    rows = halves.join(whole, "node")
-    x = rows.select("half", "hash", F.col("node").alias("a"), F.col("comp").alias("a_comp"), F.col("all").alias("a_all"))
-    y = rows.select("half", "hash", F.col("node").alias("b"), F.col("comp").alias("b_comp"), F.col("all").alias("b_all"))
-    joined = x.alias("x").join(y.alias("y"), (F.col("x.half") == F.col("y.half")) & (F.col("x.hash") == F.col("y.hash")) & F.expr(
-        "a < b AND a_comp <> b_comp AND size(array_intersect(slice(a_all, 1, x.half), slice(b_all, 1, x.half))) = 0"
-        f" AND arrays_overlap(slice(a_all, {REPEATS + 1}, {REPEATS}), slice(b_all, {REPEATS + 1}, {REPEATS}))"
-    ))
-    return joined.select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """Groups of documents whose shingle sets have 100 * intersection >= similarity * union.
 
@@ -159,9 +134,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are kept; equal rows are one document."""
     judged = _judge(docs, shingle, similarity)
-    gone = Scratch(docs.sparkSession, "dropped").keep(judged.where("NOT kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("_hash"))
-    return docs.join(gone, same, "left_anti")
+    gone = Scratch(docs.sparkSession, "dropped").keep(judged.where("NOT kept").select("doc_id", "text_hash").distinct())
+    # The row is one column, so that no name of it can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    same = F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.text_hash") == F.col("g.text_hash"))
+    return rows.alias("r").join(_few(gone).alias("g"), same, "left_anti").select("row.*")
+
+
+def _few(nodes: DataFrame) -> DataFrame:
+    """Kept nodes, to be broadcast if they are at most ``SENT_NODES``."""
+    return F.broadcast(nodes) if rows_of(nodes) <= SENT_NODES else nodes
+
+
+def _shared(keyed: DataFrame, told_by: str, scratch: Scratch) -> DataFrame:
+    """Rows of ``keyed`` whose bucket has different values of ``told_by``. Equal sets fold before the shuffle."""
+    shared = scratch.keep(keyed.groupBy("bucket").agg(F.min(told_by).alias("low"), F.max(told_by).alias("high")).where("low <> high").select("bucket"))
+    return keyed.join(_few(shared), "bucket", "left_semi")
+
+
+def _fetch(read: DataFrame, named: DataFrame, nodes: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """(node, hashes) of the nodes, each made of one of its texts, so that other texts don't reach Python."""
+    nodes = scratch.keep(nodes)
+    chosen = scratch.keep(named.select("node", "text_hash").join(_few(nodes), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash")).select("text_hash"))
+    texts = read.select("text", "text_hash").join(_few(chosen), "text_hash", "left_semi").select("text")
+    return scratch.keep(texts.mapInArrow(_sets(shingle), "node long, hashes binary").dropDuplicates(["node"]))
 
 
 def _judge(docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
@@ -172,33 +168,43 @@ def _judge(docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     signed = scratch.keep(read.mapInArrow(_signatures(shingle), "doc_id long, text_hash long, n_shingles long, node long, halves array<long>"))
 
-    halves = signed.where("node IS NOT NULL").select("node", F.posexplode("halves").alias("half", "hash"))
-    shared = halves.groupBy("half", "hash").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("half", "hash")
-    shared = scratch.keep(shared)
-    # Each document's shared halves, at most 2 * REPEATS; equal sets come to one row.
-    own = halves.join(shared, ["half", "hash"], "left_semi").groupBy("node").agg(F.collect_set(F.struct("half", "hash")).alias("halves"))
-    own = scratch.keep(own)
-    # First the keys of equal places in both collections, then pairs of different groups that share any other key.
-    members = scratch.keep(distinct_buckets(_equal_places(own)))
-    wanted = scratch.keep(own.select("node"))
-    if rows_of(wanted):
-        sent = np.sort(np.array([r.node for r in wanted.toLocalIterator()], np.int64)) if rows_of(wanted) <= SENT_NODES else None
-        sets = read.select("text").mapInArrow(_sets(shingle, sent), "node long, hashes binary")
-        if sent is None:
-            sets = sets.join(wanted, "node", "left_semi")
-        sets = scratch.keep(sets.dropDuplicates(["node"]))
-
-        def verify(pairs: DataFrame) -> DataFrame:
-            both = attach(pairs, sets, "hashes")
-            return both.mapInArrow(_confirm(similarity), "a long, b long")
-
-        labels, compared = link(members, verify, scratch, python=True)
-        pairs = scratch.keep(_other_pairs(signed, own, labels).join(compared, ["a", "b"], "left_anti"))
-        if rows_of(pairs):
-            labels = merge(labels, near(scratch.keep(verify(pairs))), scratch, python=True)
-        scratch.free(members, sets)
-    else:
-        labels = spark.createDataFrame([], "node long, comp long")
+    named = signed.where("node IS NOT NULL")
+    second = F.slice("halves", REPEATS + 1, REPEATS)
+    keyed = named.select("node", F.col("n_shingles").alias("size"), F.explode(F.zip_with(F.slice("halves", 1, REPEATS), second, lambda x, y: F.xxhash64(x, y))).alias("bucket"))
+    members = scratch.keep(distinct_buckets(_shared(keyed, "node", scratch).groupBy("bucket", "node", "size").agg(F.count(F.lit(1)).alias("weight"))))
+    labels = spark.createDataFrame([], "node long, comp long").coalesce(1)
+    alike = f"100 * least(a_size, b_size) >= {similarity} * greatest(a_size, b_size)"
+    pairs = scratch.keep(stars(members, alike))
+    scratch.free(members)
+
+    def confirmed(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+        edges = scratch.keep(attach(pairs, sets, "hashes").mapInArrow(_confirm(similarity), "a long, b long"))
+        return merge(labels, near(edges), scratch, python=True) if rows_of(edges) else labels
+
+    if rows_of(pairs):
+        sets = _fetch(read, named, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle, scratch)
+        labels = confirmed(pairs, sets, labels)
+        scratch.free(sets)
+    # Now what shares any key across groups.
+    of_group = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    halves = of_group.select("node", "comp", F.col("n_shingles").alias("size"), F.posexplode(F.slice("halves", 1, REPEATS)).alias("half", "hash")).select("node", "comp", "size", F.xxhash64("half", "hash").alias("bucket"))
+    across = scratch.keep(_shared(halves, "comp", scratch).select("bucket", "node", "size").distinct())
+    if rows_of(across):
+        nodes = across.select("node").distinct()
+        sets = _fetch(read, named, nodes, shingle, scratch)
+        keys = named.select("node", second.alias("second")).join(_few(scratch.keep(nodes)), "node", "left_semi").dropDuplicates(["node"])
+        traits = scratch.keep(sets.mapInArrow(tiles.sketches, "node long, sketch binary").join(keys, "node"))
+        compared, most = pairs, tiles.FIRST_PARTNERS
+        while True:
+            found = scratch.keep(tiles.candidates(across, traits, labels, similarity, most, scratch))
+            fresh = scratch.keep(found.select("a", "b").distinct().join(compared, ["a", "b"], "left_anti"))
+            if rows_of(fresh):
+                labels = confirmed(fresh, sets, labels)
+                compared = near(scratch.keep(compared.unionByName(fresh)))
+            if found.where("more").isEmpty():
+                break
+            most *= tiles.MORE_PARTNERS
+        scratch.free(sets, traits, across)
     low = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
     grouped = low.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = grouped.groupBy("comp").agg(F.min("low").alias("component_id"), F.sum("n").alias("size")).where("size > 1")
