@@ -26,7 +26,7 @@ def hard_docs(make_docs):
     from pyspark.sql import functions as F
 
     # Extra columns with names that operators use themselves.
-    return make_docs(HARD).withColumns({c: F.lit("x") for c in ("kept", "node", "score", "bucket", "spans", "line", "comp", "n_words")})
+    return make_docs(HARD).withColumns({c: F.lit("x") for c in ("kept", "node", "score", "bucket", "spans", "line", "comp", "n_words", "_doc", "_hash", "_dropped", "_th", "row", "text_hash", "key", "first", "size", "g", "r", "d")})
 
 
 @pytest.fixture

@@ -6,10 +6,12 @@ import re
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rowloom.llm import linededup, linking, minhash, queries, secrets, warc
+from rowloom.llm import linededup, linking, minhash, queries, secrets, tiles, warc
 from rowloom.llm.session import Scratch
 
 
@@ -40,15 +42,22 @@ def test_components(spark, python):
     assert len(got) == len(nodes)
 
 
-def test_link_equals_all_pairs(spark):
+@pytest.mark.parametrize("alike", [None, "abs(a_size - b_size) <= 2"])
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_link_equals_all_pairs(spark, monkeypatch, alike, small):
+    """Also where no table counts as small and no edges are joined in one task."""
+    monkeypatch.setattr(linking, "SMALL_ROWS", small)
+    monkeypatch.setattr(linking, "TASK_EDGES", small)
     rng = random.Random(2)
     members = {(b, rng.randrange(60)) for b in range(25) for _ in range(rng.choice([1, 2, 3, 12]))}
     linked = {p for p in combinations(range(60), 2) if rng.random() < 0.25}
     table = spark.createDataFrame(sorted(linked), "a long, b long")
     shared = {p for b in range(25) for p in combinations(sorted(n for x, n in members if x == b), 2)}
     scratch = Scratch(spark, "t")
-    rows = scratch.keep(linking.distinct_buckets(spark.createDataFrame(sorted(members), "bucket long, node long")))
-    got = linking.link(rows, lambda pairs: pairs.join(table, ["a", "b"], "left_semi"), scratch)[0].collect()
+    rows = scratch.keep(linking.distinct_buckets(spark.createDataFrame([(*m, rng.randrange(5), m[1] % 7) for m in sorted(members)], "bucket long, node long, weight long, size long")))
+    if alike:
+        linked = {(a, b) for a, b in linked if abs(a % 7 - b % 7) <= 2}
+    got = linking.link(rows, lambda pairs: pairs.join(table, ["a", "b"], "left_semi"), scratch, alike or "true")[0].collect()
     want = groups(range(60), shared & linked)
     assert {n: {r.node: r.comp for r in got}.get(n, n) for n in range(60)} == want
 
@@ -61,8 +70,12 @@ def shingles(text, n):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("n", [2, 5])
-def test_near_duplicates(make_docs, n):
+@pytest.mark.parametrize(("n", "limit", "tile"), [(2, 10**6, 512), (5, 10**6, 512), (2, 0, 3)])
+def test_near_duplicates(make_docs, monkeypatch, n, limit, tile):
+    """Also where nothing is small enough to be broadcast or joined in one task, and tiles are small."""
+    for module, name in ((minhash, "SENT_NODES"), (linking, "SMALL_ROWS"), (linking, "TASK_EDGES")):
+        monkeypatch.setattr(module, name, limit)
+    monkeypatch.setattr(tiles, "TILE", tile)
     rng = random.Random(n)
     texts = []
     for _ in range(25):
@@ -92,21 +105,35 @@ def test_near_duplicates_hard(hard_docs, no_docs):
 
 
 def test_tensored_keys_find_links():
-    """The share of 0.8-similar pairs without a common key stays under one in a thousand."""
+    """The share of 0.8-similar pairs without a common key stays under one in a thousand, by the formula and as measured."""
     s, missed = 0.8, 1.0
     one = 1 - (1 - s**minhash.ROWS) ** minhash.REPEATS
     missed = 1 - one * one
     assert missed < 1e-3
+    rng = np.random.default_rng(3)
+    pairs = 300
+    found = 0
+    for _ in range(pairs):
+        both = rng.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2)
+        a, b = (minhash.half_hashes(np.unique(x)) for x in (both[:360], both[40:]))  # 320 of 400
+        found += bool((a == b)[: minhash.REPEATS].any() and (a == b)[minhash.REPEATS :].any())
+    assert found >= 0.99 * pairs
+
+
+def test_sketch_bound():
+    """Slots that differ are never more than elements that differ, also between sketches of different sizes."""
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (10, 14), (60, 70), (500, 520), (500, 600), (1000, 1030)):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[: n * 9 // 10], rng.integers(0, 1 << 63, m - n * 9 // 10).astype(np.uint64))))
+        x, y = (np.frombuffer(tiles.sketch_of(s), np.uint64) for s in (a, b))
+        words = min(len(x), len(y))
+        assert int(np.bitwise_count(tiles.fold(x, words) ^ tiles.fold(y, words)).sum()) <= len(np.setxor1d(a, b))
 
 
 # fuzzy lines
 
 
-def plain_simhash(spark, lines):
-    table = spark.createDataFrame([(x,) for x in lines], "line string")
-    return {r.line: r.sim for r in table.select("line", linededup.simhash("line").alias("sim")).collect()}
-
-
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -117,76 +144,81 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_simhash_bits(spark):
-    rng = random.Random(1)
-    lines = [" ".join(f"w{rng.randrange(40)}" for _ in range(n)) for n in (1, 2, 3, 127, 128, 129, 300, 1000)]
-    got = plain_simhash(spark, lines)
-    for x in lines:
-        w = x.split()
-        pairs = [(a, b) for a, b in zip(w, w[1:], strict=False)]
-        if not pairs:
-            continue
-        hashes = [r.h for r in spark.createDataFrame(pairs, "a string, b string").select(F.xxhash64("a", "b").alias("h")).collect()]
-        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-        assert got[x] == (want - (1 << 64) if want >> 63 else want)
-
-
-def test_fuzzy_lines(spark, make_docs):
-    rng = random.Random(8)
-    pool = []
-    for _ in range(12):
-        base = [f"word{rng.randrange(200)}" for _ in range(rng.choice([1, 4, 60, 90]))]
-        pool.append(" ".join(base))
-        for _ in range(4):
-            copy = list(base)
-            copy[rng.randrange(len(copy))] += rng.choice(["", "s", "x"])
-            pool.append(rng.choice(["", "- "]) + " ".join(copy).capitalize() + rng.choice([".", "!", ""]))
-    texts = ["\n".join(rng.choice(pool) if rng.random() < 0.8 else rng.choice(["", "---"]) for _ in range(rng.randrange(1, 8))) for _ in range(40)] + [None, "", "\n\n"]
-    got = {r.doc_id: r for r in linededup.dedup_lines(make_docs(texts)).collect()}
-
-    norm = lambda x: re.sub(r"[^\w]+|_", " ", x.lower()).strip()
-    lines = sorted({norm(x) for t in texts if t for x in t.split("\n")} - {""})
-    sim = plain_simhash(spark, lines)
-    near = [(a, b) for a, b in combinations(lines, 2) if ((sim[a] ^ sim[b]) & (1 << 64) - 1).bit_count() <= 3 and edit_distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)]
-    assert near
-    comp, seen = groups(lines, near), set()
-    hashes = {r.line: r.h for r in spark.createDataFrame([(t,) for t in texts], "line string").select("line", F.xxhash64("line").alias("h")).collect()}
-    for i, t in enumerate(texts):
-        keep = []
-        for x in (t or "").split("\n"):
-            c = comp.get(norm(x))
-            if c is None or c not in seen:
-                keep.append(x)
-            seen.add(c)
-        assert (got[i].text or "").split("\n") == keep or got[i].n_kept_lines == 0 and not keep, (i, hashes[t])
-        assert got[i].n_lines == (0 if t is None else len(t.split("\n")))
-    assert got[40].text is None and got[41].text == "" and got[42].text == "\n\n"
+def plain_near(a, b):
+    """The rule of the docstring, on normalised lines."""
+    longest = max(len(a), len(b))
+    if abs(len(a) - len(b)) > int(longest * 0.2 + 1e-9):
+        return False
+    if longest <= 250:
+        return edit_distance(a, b) <= int(longest * 0.2 + 1e-9)
+    a, b = a.split(), b.split()
+    if max(len(a), len(b)) <= 1000:
+        return edit_distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
+    return 2 * len(set(a) & set(b)) >= 0.8 * (len(set(a)) + len(set(b)))
+
 
+def plain_normal(line):
+    return re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", line.lower()).strip(" ")
 
-def test_fuzzy_lines_by_similarity(spark, make_docs, tmp_path):
-    """The query has no SimHash radius: against brute force on the edit similarity alone."""
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_fuzzy_lines(spark, make_docs, tmp_path, monkeypatch, limit):
+    """The query against brute force on the similarity alone; also where nothing is small enough to be broadcast."""
+    monkeypatch.setattr(linededup, "SENT_NODES", limit)
+    monkeypatch.setattr(linking, "SMALL_ROWS", limit)
     rng = random.Random(18)
     lines = []
-    for n in (1, 2, 3, 5, 8, 10, 12, 20, 50, 100) * 3:
+    for n in (1, 2, 3, 5, 8, 10, 12, 20, 50, 100, 1100) * (3 if limit else 1):
         base = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(3, 9))) for _ in range(n)]
         lines.append(" ".join(base))
-        for changes in (1, max(1, n // 10)):
+        for changes in (1, max(1, n // 12)):
             copy = list(base)
             for at in rng.sample(range(n), changes):
                 copy[at] = copy[at] + "x" if n < 5 else "changed"
-            lines.append(" ".join(copy))
+            lines.append(rng.choice(["", "- "]) + " ".join(copy).capitalize() + rng.choice([".", "!", ""]))
         lines.append(" ".join(base[:-1] if n > 5 else base) + "y")
     lines += ["漢字仮名交文章例文続行本日晴天" + x for x in ("甲", "乙")]
-    want = groups(lines, [(a, b) for a, b in combinations(lines, 2) if edit_distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)])
-    first = {}
-    for i, x in enumerate(lines):
-        first.setdefault(want[x], i)
-    assert len(first) < len(lines) / 2
-    make_docs(lines).write.parquet(f"{tmp_path}/documents.parquet")
+    forms = [plain_normal(x) for x in lines]
+    want = groups(forms, [(a, b) for a, b in combinations(forms, 2) if plain_near(a, b)])
+    texts = ["\n".join(lines[i : i + 3]) for i in range(0, len(lines), 3)] + ["---\n\n" + lines[0], None, "", "\n\n"]
+    make_docs(texts).write.parquet(f"{tmp_path}/documents.parquet")
     out = queries.op6_fuzzy_lines(spark, str(tmp_path))
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
-    got = {r.doc_id: r.n_kept_lines for r in out.collect()}
-    assert got == {i: int(first[want[x]] == i) for i, x in enumerate(lines)}
+    got = {r.doc_id: r for r in out.collect()}
+    seen, missed = set(), 0
+    for i, t in enumerate(texts):
+        keep = []
+        for x in (t or "").split("\n"):
+            c = want.get(plain_normal(x))
+            if c is None or c not in seen:
+                keep.append(x)
+            seen.add(c)
+        missed += (got[i].text or "") != "\n".join(keep)
+        assert got[i].n_lines == (0 if t is None else len(t.split("\n")))
+    assert missed == 0
+    assert got[len(texts) - 3].text is None and got[len(texts) - 2].text == "" and got[len(texts) - 1].text == "\n\n"
+
+
+@pytest.mark.parametrize("sf", ["sf0.001"])
+def test_fuzzy_lines_recall(spark, sf):
+    """Of all pairs of distinct lines of edit similarity 0.8, in characters, nine in ten or more are in one group."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    lines = sorted({plain_normal(x) for r in docs.select("text").collect() for x in (r.text or "").split("\n")} - {""}, key=len)
+    size = np.array([len(x) for x in lines])
+    letters = np.zeros((len(lines), 64), np.int32)
+    for i, x in enumerate(lines):
+        letters[i] = np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % 64, minlength=64)
+    pairs = []
+    for i in range(len(lines)):
+        to = np.searchsorted(size, size[i] * 1.25 + 1e-9, "right")
+        other = letters[i + 1 : to] - letters[i]
+        # Letters too many on either side: a bound of the edit distance.
+        may = np.maximum(np.maximum(other, 0).sum(1), np.maximum(-other, 0).sum(1)) <= np.floor(0.2 * size[i + 1 : to] + 1e-9)
+        pairs += [(lines[i], lines[i + 1 + j]) for j in np.flatnonzero(may)]
+    table = spark.createDataFrame(pa.table({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}).to_pandas()).repartition(16)
+    near = table.where("levenshtein(a, b, CAST(floor(0.2D * greatest(length(a), length(b)) + 1e-9D) AS INT)) >= 0").select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).collect()
+    labels = {r.node: r.comp for r in linededup.group_lines(docs.select("doc_id", "text"), Scratch(spark, "t"))[1].collect()}
+    assert near and sum(labels.get(r.a, r.a) == labels.get(r.b, r.b) for r in near) >= 0.9 * len(near)
 
 
 def test_fuzzy_lines_hard(hard_docs, no_docs):
