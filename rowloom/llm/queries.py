@@ -76,16 +76,16 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 SQL_OP3 = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS owner, coalesce('=' || source, '') || '/' || coalesce('=' || lang, '') AS repo, coalesce(text, '') AS text FROM documents),
 m AS (SELECT r, 0 AS kind, regexp_extract_all(text, P0) AS whole, regexp_extract_all(text, P0, 2) AS val, string_split_regex(text, P0) AS pieces FROM d
 UNION ALL SELECT r, 1, regexp_extract_all(text, P1), regexp_extract_all(text, P1), string_split_regex(text, P1) FROM d
 UNION ALL SELECT r, 2, regexp_extract_all(text, P2), regexp_extract_all(text, P2), string_split_regex(text, P2) FROM d
 UNION ALL SELECT r, 3, regexp_extract_all(text, P3), regexp_extract_all(text, P3), string_split_regex(text, P3) FROM d),
 e AS (SELECT r, kind, unnest(range(1, len(whole) + 1)) AS i, unnest(whole) AS w, unnest(val) AS v, unnest(list_slice(pieces, 1, len(whole))) AS b FROM m WHERE len(whole) > 0),
 s AS (SELECT r, kind, v, length(w) AS n, sum(length(b) + length(w)) OVER (PARTITION BY r, kind ORDER BY i) AS stop FROM e),
-c AS (SELECT s.*, stop - n AS start, source FROM s JOIN d USING (r) WHERE kind = 0 AND length(v) >= 12 OR kind = 1 AND n >= 18 OR kind = 2 AND n >= 16 OR kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')),
-o AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS owners FROM c GROUP BY v),
-j AS (SELECT c.*, owners > 1 AS copied, owners <= 1 AND regexp_matches(v, '[0-9]') AND len(list_distinct(string_split(v, ''))) >= 8 AS live FROM c JOIN o USING (v)),
+c AS (SELECT s.*, stop - n AS start, owner, repo FROM s JOIN d USING (r) WHERE kind = 0 AND length(v) >= 12 OR kind = 1 AND n >= 18 OR kind = 2 AND n >= 16 OR kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')),
+o AS (SELECT v, count(DISTINCT owner) > 2 OR count(DISTINCT repo) > 3 AS copied FROM c GROUP BY v),
+j AS (SELECT c.*, copied, NOT copied AND regexp_matches(v, '[0-9]') AND len(list_distinct(string_split(v, ''))) >= 8 AS live FROM c JOIN o USING (v)),
 k AS (SELECT *, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM j WHERE kind < 3 OR live),
 g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (copied) AS n_copied, count(*) FILTER (live) AS n_live,
 string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans FROM k GROUP BY r)

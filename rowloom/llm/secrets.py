@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership, in DataFrame functions only.
 
 Candidates are found by pattern in each whole text. Their values are hashed, and each
-hash is counted over distinct repositories and owners: a value that many owners have
-is a widely copied example, one of a single owner that looks random is live-looking.
+hash is counted over distinct repositories and owners: a value that more owners have
+than copies of a document explain, or that is in more repositories, is a widely copied
+example; another one that looks random is owner-specific and live-looking.
 Opaque tokens, which the base patterns miss, count as secrets only by this.
 
 Spans are code points, end exclusive. Patterns are Java's, ASCII only.
@@ -10,6 +11,7 @@ Spans are code points, end exclusive. Patterns are Java's, ASCII only.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -38,8 +40,8 @@ BASE = (ASSIGN, ACCESS, HEX)
 #: What the method adds: long mixed tokens that only one owner has.
 OPAQUE = Kind("opaque", r"[A-Za-z0-9+/_=-]{20,}", 0, 20, mixed=True)
 KINDS = (*BASE, OPAQUE)
-#: A value of more owners than this is widely copied.
-MOST_OWNERS = 1
+#: A value of more owners than this, or in more repositories, is widely copied. Two owners may hold copies of one document.
+MOST_OWNERS, MOST_REPOS = 2, 3
 #: A random-looking value has a digit and at least so many distinct characters.
 LIVE_CHARACTERS = 8
 
@@ -59,12 +61,12 @@ def _matches(text: Column, number: int, kind: Kind) -> Column:
     return F.when(text.rlike(kind.pattern), rows).otherwise(F.expr("array()").cast("array<struct<kind:int,place:int,before:bigint,size:bigint,value:string>>"))
 
 
-def candidates(docs: DataFrame, repo_col: str, owner_col: str, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+def candidates(docs: DataFrame, repo_cols: Sequence[str], owner_col: str, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """doc_id, text_hash, repo, owner, kind (its number), start, end, value of each match that is long enough. Equal rows of ``docs`` count once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = F.concat(*(_matches(F.col("text"), i, k) for i, k in enumerate(kinds)))
     key = ["doc_id", "text_hash", "repo", "owner", "kind"]
-    read = docs.select(*_keys(repo_col, owner_col), text.alias("text"))
+    read = docs.select(*_keys(repo_cols, owner_col), text.alias("text"))
     rows = read.select(*key[:4], F.explode(found).alias("m")).select(*key[:4], "m.*").distinct()
     upto = W.partitionBy(*key).orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
     end = F.sum(F.col("before") + F.col("size")).over(upto)
@@ -75,33 +77,41 @@ def candidates(docs: DataFrame, repo_col: str, owner_col: str, kinds: tuple[Kind
     return spans.where((size >= least) & (~F.col("kind").isin([i for i, k in enumerate(kinds) if k.mixed]) | mixed))
 
 
-def _keys(repo_col: str, owner_col: str) -> list[Column]:
+def _name(column: str) -> Column:
+    """A null name is one of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
+def _keys(repo_cols: Sequence[str], owner_col: str) -> list[Column]:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner")]
+    repo = F.concat_ws("/", *(_name(c) for c in repo_cols))
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), repo.alias("repo"), _name(owner_col).alias("owner")]
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """Distinct repositories and owners of each value_hash; a null name is one more. Copies by one owner are folded first."""
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(c)
-    once = found.select("value_hash", name("repo"), name("owner")).distinct()
-    return once.groupBy("value_hash").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
+def widely_copied(found: DataFrame, most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
+    """(value_hash, n_repos, n_owners) of values that too many repositories or owners have. Copies in one repository are folded first."""
+    once = found.select("value_hash", "repo", "owner").distinct()
+    counted = once.groupBy("value_hash").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
+    return counted.where((F.col("n_owners") > most_owners) | (F.col("n_repos") > most_repos))
 
 
-def scan_secrets(docs: DataFrame, repo_col: str = "source", owner_col: str = "source") -> DataFrame:
+def scan_secrets(docs: DataFrame, repo_cols: Sequence[str] = ("source", "lang"), owner_col: str = "source", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
     """Spans of secrets of each whole text.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_copied, n_live, one
-    row per row of ``docs``, null or repeated ids included. ``spans`` has the base spans
-    and those opaque tokens that one owner alone has and that look random. ``n_copied``
-    counts spans of values that more than ``MOST_OWNERS`` owners have, ``n_live`` those of
-    owner-specific, random-looking values. A null text counts as empty. Other columns
-    are not read.
+    row per row of ``docs``, null or repeated ids included. A repository is named by
+    ``repo_cols`` together, its owner by ``owner_col``. ``spans`` has the base spans, and those
+    opaque tokens that are live: random-looking, of ``most_owners`` owners and in ``most_repos``
+    repositories at most. ``n_copied`` counts spans of values that are in more, ``n_live``
+    those of live values. A null text counts as empty, a null name as one more name.
+    Other columns are not read. No documents: no rows.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     live = (F.size(F.array_distinct(F.split("value", ""))) >= LIVE_CHARACTERS) & F.col("value").rlike("[0-9]")
-    found = candidates(docs, repo_col, owner_col).select("doc_id", "text_hash", "repo", "owner", "kind", "start", "end", F.sha2("value", 256).alias("value_hash"), live.alias("live"))
+    found = candidates(docs, repo_cols, owner_col).select("doc_id", "text_hash", "repo", "owner", "kind", "start", "end", F.sha2("value", 256).alias("value_hash"), live.alias("live"))
     found = scratch.keep(found)
-    judged = found.join(ownership(found), "value_hash").withColumn("copied", F.col("n_owners") > MOST_OWNERS).withColumn("live", F.col("live") & ~F.col("copied"))
+    # Only what is widely copied is joined, a small part of the values, so that it is mostly broadcast.
+    judged = found.join(widely_copied(found, most_owners, most_repos), "value_hash", "left").withColumn("copied", F.col("n_owners").isNotNull()).withColumn("live", F.col("live") & ~F.col("copied"))
     judged = judged.where((F.col("kind") < len(BASE)) | F.col("live"))
     text = lambda rows: F.array_join(F.transform(rows, lambda s: F.concat_ws(":", F.element_at(F.array(*(F.lit(k.name) for k in KINDS)), s["kind"] + 1), s["start"], s["end"])), ",")
     number = lambda i: F.count_if(F.col("kind") == i)
@@ -112,6 +122,6 @@ def scan_secrets(docs: DataFrame, repo_col: str = "source", owner_col: str = "so
     )
     per = per.select("*", text(F.filter("all", lambda s: s["kind"] < len(BASE))).alias("base"), text(F.col("all")).alias("spans"))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("doc_id", "text_hash", "repo", "owner")]
-    out = docs.select(*_keys(repo_col, owner_col)).alias("d").join(per.alias("p"), same, "left")
+    out = docs.select(*_keys(repo_cols, owner_col)).alias("d").join(per.alias("p"), same, "left")
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select("d.doc_id", count("n_assign"), count("n_access"), count("n_hex"), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), count("n_copied"), count("n_live"))

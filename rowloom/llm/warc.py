@@ -33,6 +33,8 @@ from .session import Scratch, bound_batches, new_path
 
 BLOCK_LINES = 1000
 ARCHIVE_BYTES = 256 << 20
+#: Archive bytes that one task reads back.
+READ_BYTES = 32 << 20
 #: Sorts before any page id: the place of a null id.
 NO_ID = -(1 << 63)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -145,7 +147,7 @@ def _write_index(uri: str, block_lines: int):
     """Sorted captures of a partition to one shard; yields the shard with its first and last capture."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, name, out, at, total = Store(uri), uuid.uuid4().hex, None, 0, 0
+        store, name, out, at, total, size = Store(uri), uuid.uuid4().hex, None, 0, 0, 0
         directory: list[list] = []
         lines: list[str] = []
         first = last = None
@@ -162,7 +164,7 @@ def _write_index(uri: str, block_lines: int):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 place = [row[0], NO_ID if row[1] is None else row[1]]
-                first, last, total = first or place, place, total + 1
+                first, last, total, size = first or place, place, total + 1, size + row[4]
                 lines.append(json.dumps([*place, *row[2:]]))
                 if len(lines) >= block_lines:
                     flush()
@@ -172,7 +174,7 @@ def _write_index(uri: str, block_lines: int):
             out.close()
             with store.create(f"{name}.directory") as f:
                 f.write(zlib.compress(json.dumps(directory).encode()))
-            yield pa.RecordBatch.from_pydict({"shard": [name], "first_key": [first[0]], "first_id": [first[1]], "last_key": [last[0]], "last_id": [last[1]], "captures": [total]})
+            yield pa.RecordBatch.from_pydict({"shard": [name], "first_key": [first[0]], "first_id": [first[1]], "last_key": [last[0]], "last_id": [last[1]], "captures": [total], "bytes": [size]})
 
     return work
 
@@ -184,6 +186,8 @@ class CaptureIndex:
     uri: str
     archives: str
     shards: list[tuple[str, tuple[str, int], tuple[str, int]]]
+    #: Bytes of all captured records.
+    captured: int = 0
 
 
 class Reader:
@@ -254,9 +258,9 @@ def build_index(captures: DataFrame, uri: str, archives: str, block_lines: int =
     order = F.col("url_key"), F.col("page_id").asc_nulls_first()
     ranged = captures.repartitionByRange(*order, F.col("file"), F.col("offset")).sortWithinPartitions(*order)
     # One row per shard: as many as shuffle partitions.
-    rows = ranged.mapInArrow(_write_index(uri, block_lines), "shard string, first_key string, first_id long, last_key string, last_id long, captures long").collect()
+    rows = ranged.mapInArrow(_write_index(uri, block_lines), "shard string, first_key string, first_id long, last_key string, last_id long, captures long, bytes long").collect()
     shards = sorted(((r.shard, (r.first_key, r.first_id), (r.last_key, r.last_id)) for r in rows), key=lambda s: s[1:])
-    return CaptureIndex(uri, archives, shards)
+    return CaptureIndex(uri, archives, shards, sum(r.bytes for r in rows))
 
 
 def read_back(queries: DataFrame, index: CaptureIndex) -> DataFrame:
@@ -276,7 +280,9 @@ def read_back(queries: DataFrame, index: CaptureIndex) -> DataFrame:
 
     asked = queries.select(F.col("url").cast("string").alias("url"), F.col("page_id").cast("long").alias("page_id")).mapInArrow(keys, "url_key string, page_id long").distinct()
     order = F.col("url_key"), F.col("page_id").asc_nulls_first()
-    return asked.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(look_up, RECORDS)
+    # By the records' bytes, not those of the keys, and at least one task a core.
+    tasks = max(queries.sparkSession.sparkContext.defaultParallelism, -(-index.captured // READ_BYTES))
+    return asked.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(look_up, RECORDS)
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, least_bytes: int = 0, uri: str | None = None) -> DataFrame:

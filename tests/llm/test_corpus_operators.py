@@ -262,6 +262,19 @@ def test_secrets(make_docs):
     assert any(r.n_copied for r in got)
 
 
+def test_secrets_by_owners_and_repositories(spark):
+    """Either count alone makes a value a copied example; copies in one repository, or with a second owner, don't."""
+    token = "Zz9q8W7e6R5t4Y3u2I1kLmN0p"
+    cases = {"repeated": [("o", "r")] * 9, "two owners": [("o", "r"), ("p", "r")], "owners": [("o", "r"), ("p", "r"), (None, "r")], "repos": [("o", "r"), ("o", "s"), ("o", "t"), ("o", None)]}
+    rows = [(i, token + chr(65 + i), owner, repo) for i, places in enumerate(cases.values()) for owner, repo in places]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for r in secrets.scan_secrets(docs).collect():
+        copied = list(cases)[r.doc_id] in ("owners", "repos")
+        assert (r.n_copied, r.n_live, r.spans) == ((0, 0, "") if copied else (0, 1, "opaque:0:26"))
+    named = spark.createDataFrame([(r[0], "token=" + r[1], *r[2:]) for r in rows], docs.schema)
+    assert {r.doc_id: (r.n_assign, r.n_copied > 0) for r in secrets.scan_secrets(named).collect()} == {0: (1, False), 1: (1, False), 2: (1, True), 3: (1, True)}
+
+
 def test_secrets_hard(hard_docs, no_docs):
     got = secrets.scan_secrets(hard_docs).collect()
     assert len(got) == 8 and all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
@@ -312,6 +325,14 @@ def test_index_look_up(spark, tmp_path):
     assert [reader.record(c)[0] for c in reader.captures(warc.url_key(rows[5][1]), 5)] == [5]
 
 
+def test_archives_hard(spark, tmp_path):
+    """Extra columns with names that the operator uses, and a very long payload."""
+    html = "<p>é漢</p>" * 300_000
+    pages = spark.createDataFrame([(1, "http://a/", html), (2, "http://a/", html), (3, None, None)], "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("digest", "n_bytes", "chosen", "n", "revisit", "refers_to", "file", "offset", "length", "url_key")})
+    got = {r.page_id: r for r in warc.archive_round_trip(spark, pages, uri=f"file://{tmp_path}/w").collect()}
+    assert {i: (r.payload_bytes, r.record_type, r.refers_to) for i, r in got.items()} == {1: (len(html.encode()), "revisit", 2), 2: (len(html.encode()), "response", None), 3: (0, "response", None)}
+
+
 def test_archives_threshold_and_empty(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     got = {r.page_id: r.record_type for r in warc.archive_round_trip(spark, pages, least_bytes=3, uri=f"file://{tmp_path}/x").collect()}
