@@ -28,7 +28,7 @@ from .textbytes import runs
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 #: Distinct pre-tokens a worker remembers; beyond it, it begins anew.
-CACHE = 400_000
+CACHE = 100_000
 #: Texts whose characters all lie below this code point take the quicker splitter.
 LATIN = 0x250
 
