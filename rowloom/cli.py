@@ -53,19 +53,18 @@ def _parser() -> argparse.ArgumentParser:
     command("stream-append", "input", "output", schema={"required": True})
     command("stream-recover", "input")
     command("stream-replay", "input", "output")
-    command("stream-roll", "input", "output", max_blocks={"type": int, "default": layout.SEGMENT_BLOCKS}, block_rows={"type": int, "default": layout.BLOCK_ROWS})
+    command("stream-roll", "input", "output", max_blocks={"type": int, "default": layout.SEGMENT_BLOCKS}, max_segment_bytes={"type": int, "default": layout.SEGMENT_BYTES}, block_rows={"type": int, "default": layout.BLOCK_ROWS}, block_bytes={"type": int, "default": layout.BLOCK_BYTES})
     command("stream-bench", "input", schema={"required": True}, iterations={"type": int, "default": 3})
     command("snapshot-encode", "input", "output", checkpoint_id={"type": int, "required": True})
     command("snapshot-decode", "input", "output")
     return top
 
 
-def _blocks(table: DataFrame) -> DataFrame:
-    columns = [c for c in table.columns if c not in ("row_index", "row_group")]
-    sized = table.select("row_index", F.octet_length(jsonl.render(columns)).alias("n_bytes"), *(["row_group"] if "row_group" in table.columns else []))
-    if "row_group" not in sized.columns:
-        sized = layout.with_group(sized, layout.BLOCK_ROWS)
-    return stats.block_stats(sized, block="row_group").withColumnRenamed("row_group", "block_index").withColumn("valid", F.col("row_count") > 0)
+def _blocks(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """Blocks of a table held against its footer; a log without row groups is cut by ``BLOCK_ROWS``."""
+    if "row_group" in spark.read.parquet(path).columns:
+        return storage.stored_blocks(spark, path)
+    return storage.seal(layout.with_group(spark.read.parquet(path), layout.BLOCK_ROWS)).withColumn("valid", F.lit(True)), False
 
 
 def _timed(work, iterations: int) -> float:
@@ -121,7 +120,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> dict | list | Ite
     spark = spark or SparkSession.builder.appName("rowloom").getOrCreate()
     schema = parse_schema(Path(a.schema).read_text()) if getattr(a, "schema", None) else None
     if a.command == "encode":
-        layout.with_group(jsonl.read_jsonl(spark, a.input, schema.check_groups()), a.row_group_rows).write.mode("errorifexists").parquet(a.output)
+        storage.store(layout.with_group(jsonl.read_jsonl(spark, a.input, schema.check_groups()), a.row_group_rows), a.output)
         return None
     if a.command == "search-encode":
         found = read_postings(spark, a.input)
@@ -143,23 +142,22 @@ def run(argv: list[str], spark: SparkSession | None = None) -> dict | list | Ite
     if a.command == "inspect":
         return stats.inspect_file(table).first().asDict() | {"groups": _rows(stats.footer(table).orderBy("row_group"))}
     if a.command == "validate":
-        return storage.validate(_blocks(table)).first().asDict()
+        return storage.validate(_blocks(spark, a.input)[0]).first().asDict()
     if a.command == "evolve-decode":
         writer, reader = (evolution.parse_revision(Path(p).read_text()) for p in (a.writer, a.reader))
         out = evolution.evolve(table, writer, reader)
         jsonl.write_jsonl(out, a.output, sorted(out.columns))
         return None
     if a.command == "repair":
-        blocks = _blocks(table)
-        plan = storage.repair_plan(blocks, has_footer=True)
+        plan = storage.repair_plan(*_blocks(spark, a.input), crc="crc")
         if not a.plan_only:
-            storage.repair(blocks, plan, a.output)
+            storage.repair_stored(spark, a.input, plan, a.output)
         return plan.first().asDict()
     if a.command in ("bench", "parallel-bench"):
         columns = [c for c in table.columns if c not in ("row_index", "row_group")]
         return {"decode_ms": _timed(lambda: table.write.format("noop").mode("overwrite").save(), a.iterations), "projected_decode_ms": _timed(lambda: table.select(columns[0]).write.format("noop").mode("overwrite").save(), a.iterations)}
     if a.command == "repair-bench":
-        return {"plan_ms": _timed(lambda: storage.repair_plan(_blocks(table), has_footer=False).collect(), a.iterations)}
+        return {"plan_ms": _timed(lambda: storage.repair_plan(*_blocks(spark, a.input), crc="crc").collect(), a.iterations)}
     if a.command == "search-inspect":
         return _rows(search.dictionary(table).orderBy("term"))
     if a.command == "search-lookup":
@@ -170,14 +168,17 @@ def run(argv: list[str], spark: SparkSession | None = None) -> dict | list | Ite
         terms = scan.parse_projection(a.terms)
         return {"and_ms": _timed(lambda: search.and_docs(table, terms).count(), a.iterations), "top_k_ms": _timed(lambda: search.topk_frequency(table, terms, a.k).collect(), a.iterations)}
     if a.command == "stream-recover":
-        return storage.recovery(_blocks(table)).first().asDict()
+        return storage.recovery(_blocks(spark, a.input)[0]).first().asDict()
     if a.command == "stream-replay":
         columns = [c for c in table.columns if c not in ("row_index", "row_group")]
         jsonl.write_jsonl(append.replay(table), a.output, columns)
         return None
     if a.command == "stream-roll":
-        blocks = layout.with_group(table.drop("row_group"), a.block_rows, "block_index")
-        rolled = blocks.withColumn("segment_id", F.floor(F.col("block_index") / a.max_blocks).cast("long"))
+        columns = [c for c in table.columns if c not in ("row_index", "row_group")]
+        sized = table.drop("row_group").withColumn("n_bytes", F.octet_length(jsonl.render(columns)))
+        cut = layout.cut_blocks(sized, max_rows=a.block_rows, max_bytes=a.block_bytes)
+        blocks = cut.groupBy("block_index").agg(F.sum("n_bytes").alias("n_bytes"))
+        rolled = cut.drop("n_bytes").join(layout.roll_segments(blocks, a.max_blocks, a.max_segment_bytes).select("block_index", "segment_id"), "block_index")
         rolled.write.mode("errorifexists").partitionBy("segment_id").parquet(a.output)
         return {"segments": rolled.select("segment_id").distinct().count()}
     raise ValueError(a.command)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,15 +19,34 @@ BLOCK_ROWS, BLOCK_BYTES = 10_000, 8 << 20
 SEGMENT_BLOCKS, SEGMENT_BYTES = 1024, 64 << 20
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The same rows in the same partitions, however often they are read.
+
+    A plan with a shuffle may be cut into other partitions each time it runs: range bounds
+    come from a new sample, and small partitions are joined by size. So its output is
+    written once, to the shared folder in ``spark.checkpoint.dir``; a session that names
+    none keeps it on the executors' disks, where a lost part is made again of the same shuffle.
+    """
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist(StorageLevel.DISK_ONLY)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def with_row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataFrame:
     """Adds the contiguous index, by ``order`` if given, else in input order.
 
     Ordered input is range-partitioned and sorted; then each partition's row count
-    gives its offset. No stage has all rows in one task; what reaches the driver is a
-    count per partition.
+    gives its offset, counts and rows coming from one output (``held``). Plain scans are read twice
+    instead: their partitions depend on the files alone. No stage has all rows in one
+    task; what reaches the driver is a count per partition.
     """
     if order:
         df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    if order or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = held(df)
     numbered = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     counts = sorted((r["_part"], r["n"]) for r in numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = [], 0
@@ -39,7 +59,7 @@ def with_row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataF
 
 def with_group(df: DataFrame, rows: int = ROW_GROUP_ROWS, name: str = "row_group", index: str = "row_index") -> DataFrame:
     if rows <= 0:
-        raise ValueError("cmp4 row group row limit must be positive")
+        raise ValueError("a row group must have at least one row")
     return df.withColumn(name, F.floor(F.col(index) / rows).cast("long"))
 
 
@@ -52,7 +72,7 @@ def cut_blocks(df: DataFrame, size: str = "n_bytes", max_rows: int = BLOCK_ROWS,
     A row over the byte limit is an error.
     """
     if max_rows <= 0 or max_bytes <= 0:
-        raise ValueError("block limits must be positive")
+        raise ValueError("a block must be allowed a row and a byte at least")
     keys = [stream] if stream else []
     small = df.select(*keys, index, F.col(size).cast("long").alias("_size"))
     ordered = (small.repartition(stream) if stream else small.repartition(1)).sortWithinPartitions(*keys, index)
@@ -66,7 +86,7 @@ def cut_blocks(df: DataFrame, size: str = "n_bytes", max_rows: int = BLOCK_ROWS,
                 if stream and (batch[stream].iat[i] != now):
                     now, block, rows, used = batch[stream].iat[i], 0, 0, 0
                 if n > max_bytes:
-                    raise ValueError("jsonl row exceeds block byte limit")
+                    raise ValueError("a row has more bytes than a block may have")
                 if rows and (rows + 1 > max_rows or used + n > max_bytes):
                     block, rows, used = block + 1, 0, 0
                 rows, used = rows + 1, used + n
@@ -84,7 +104,7 @@ def roll_segments(blocks: DataFrame, max_blocks: int = SEGMENT_BLOCKS, max_bytes
     alone it is a division; by bytes it is a fold over the small table of blocks.
     """
     if max_blocks <= 0 or max_bytes <= 0:
-        raise ValueError("segment limits must be positive")
+        raise ValueError("a segment must be allowed a block and a byte at least")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         segment, count, used = 0, 0, 0

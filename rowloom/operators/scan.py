@@ -32,9 +32,9 @@ class Predicate:
     def check(self, df: DataFrame) -> None:
         kinds = dict(df.dtypes)
         if self.column not in kinds:
-            raise ValueError("cmp4 predicate column does not exist")
+            raise ValueError("the predicate names no column of the table")
         if self.op != "is_null" and kinds[self.column] not in NUMBERS:
-            raise ValueError("cmp4 predicate needs a u64 column")
+            raise ValueError("comparisons need a column of unsigned numbers")
 
     def condition(self) -> Column:
         return F.col(self.column).isNull() if self.op == "is_null" else COMPARISONS[self.op](F.col(self.column), F.lit(self.value))
@@ -60,9 +60,9 @@ def project(df: DataFrame, projection: list[str] | None) -> list[str]:
     """Checked column names; empty means all."""
     names = list(projection or [])
     if len(set(names)) < len(names):
-        raise ValueError("cmp4 projection column is repeated")
+        raise ValueError("a column is projected twice")
     if any(n not in df.columns for n in names):
-        raise ValueError("cmp4 projection column does not exist")
+        raise ValueError("the projection names no column of the table")
     return names or df.columns
 
 

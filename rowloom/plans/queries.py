@@ -152,6 +152,21 @@ def row_index(spark, sf_dir):
     return layout.with_row_index(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
 
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS note, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders")
+def row_index_wide(spark, sf_dir):
+    """Rows of 1 KB, whose partitions are cut otherwise than those of the key alone."""
+    wide = table(spark, sf_dir, "orders").select("o_orderkey", F.repeat(F.md5(F.col("o_orderkey").cast("string")), 32).alias("wide"))
+    return layout.with_row_index(wide, "o_orderkey").select("o_orderkey", F.left("wide", F.lit(32)).alias("note"), "row_index")
+
+
+@query(f"SELECT DISTINCT row_group, 'svc' AS \"column\" FROM {EVG} WHERE row_index % 5000 = 3 AND svc IS NOT NULL")
+def stats_mismatches_found(spark, sf_dir):
+    """Statistics stored before some values were lost."""
+    data = grouped(spark, sf_dir).select("row_index", "row_group", "event_id", "svc", "active")
+    lost = data.withColumn("svc", F.when(F.col("row_index") % 5000 != 3, F.col("svc")))
+    return stats.mismatches(stats.column_stats(data), lost)
+
+
 # blocks and streams
 
 
@@ -220,6 +235,21 @@ def validate_report(spark, sf_dir):
     return storage.validate(_marked(spark, sf_dir))
 
 
+@query(f"SELECT count(*) AS blocks, CAST(sum(row_count) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS bad_checksums, CAST(0 AS BIGINT) AS empty_blocks, CAST(2 AS BIGINT) AS breaks, false AS sound FROM {BLOCKS} WHERE block_index NOT IN (2, 5)")
+def validate_breaks(spark, sf_dir):
+    """Two blocks are gone."""
+    return storage.validate(_blocks(spark, sf_dir).where("block_index NOT IN (2, 5)").withColumn("valid", F.lit(True)))
+
+
+@query(f"SELECT row_group AS block_index, max(CASE WHEN row_index % 3000 = 7 THEN 1 ELSE 0 END) = 0 AS valid FROM {EVG} GROUP BY row_group")
+def damaged_blocks(spark, sf_dir):
+    """Blocks whose rows no longer have the checksum that was taken when they were sound."""
+    data = grouped(spark, sf_dir).select("row_index", "row_group", "event_id", "event_type")
+    damaged = data.withColumn("event_type", F.when(F.col("row_index") % 3000 == 7, F.reverse("event_type")).otherwise(F.col("event_type")))
+    stated = storage.seal(data).select("block_index", F.col("crc").alias("stated"))
+    return storage.seal(damaged).join(stated, "block_index").select("block_index", (F.col("crc") == F.col("stated")).alias("valid"))
+
+
 @query(f"SELECT block_index, CAST(floor(block_index / 4) AS BIGINT) AS segment_id, block_index % 4 AS block_in_segment FROM {BLOCKS}")
 def roll_by_blocks(spark, sf_dir):
     return layout.roll_segments(_blocks(spark, sf_dir), max_blocks=4, size="raw_size").select("block_index", "segment_id", "block_in_segment")

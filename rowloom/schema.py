@@ -47,7 +47,7 @@ class Schema:
         """The row-group formats."""
         for c in self.columns:
             if c.codec not in GROUP_CODECS[c.type]:
-                raise ValueError("v0.3 schema column codec")
+                raise ValueError("row groups have no such codec for the column's type")
         return self
 
     def column(self, name: str) -> ColumnSchema:

@@ -22,19 +22,20 @@ def parse_lines(lines: DataFrame, schema: Schema, value: str = "value", most_byt
     large as a long. One pass, in Spark's JSON parser.
     """
     kept = [F.col(c) for c in lines.columns if c != value]
-    text = F.rtrim(F.col(value), F.lit("\r"))
+    text = F.regexp_replace(F.col(value), "\r$", "")
     ready = lines.where(F.length(F.trim(text)) > 0).select(*kept, text.alias(value))
     types = T.StructType([T.StructField(c.name, T.LongType() if c.type == "u64" else T.BooleanType() if c.type == "bool" else T.StringType()) for c in schema.columns] + [T.StructField(_BAD, T.StringType())])
     row = F.from_json(F.col(value), types, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
     parsed = ready.withColumn("_row", row)
     problem = F.coalesce(
-        F.when(F.octet_length(value) > most_bytes, F.lit("jsonl line is too long")),
-        F.when(F.json_object_keys(value).isNull(), F.lit("invalid jsonl")),
+        F.when(F.octet_length(value) > most_bytes, F.lit("a line is longer than allowed")),
+        F.when(F.json_object_keys(value).isNull(), F.lit("a line is no JSON object")),
         *(_problem(c.name, c.type, c.nullable, value) for c in schema.columns),
-        F.when(F.col(f"_row.{_BAD}").isNotNull(), F.lit("invalid jsonl")),
+        F.when(F.col(f"_row.{_BAD}").isNotNull(), F.lit("a line is no JSON object")),
     )
-    checked = lambda name: F.when(problem.isNull(), F.col("_row").getField(name)).otherwise(F.raise_error(problem))
-    return parsed.select(*kept, *(checked(c.name).alias(c.name) for c in schema.columns))
+    # A filter stays in every plan, also where no column is read, and looks at each line once.
+    sound = parsed.where(F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean")))
+    return sound.select(*kept, *(F.col("_row").getField(c.name).alias(c.name) for c in schema.columns))
 
 
 def _problem(name: str, kind: str, nullable: bool, value: str) -> Column:
@@ -42,15 +43,15 @@ def _problem(name: str, kind: str, nullable: bool, value: str) -> Column:
     got = F.col("_row").getField(name)
     has = F.array_contains(F.json_object_keys(value), name)
     raw = F.get_json_object(value, f"$['{name}']")
-    missing = F.when(F.lit(not nullable) & ~has, F.lit("jsonl row missing schema column"))
-    null = F.when(F.lit(not nullable) & has & raw.isNull(), F.lit(f"jsonl column must be {kind}"))
+    missing = F.when(F.lit(not nullable) & ~has, F.lit(f"a row lacks the column {name}"))
+    null = F.when(F.lit(not nullable) & has & raw.isNull(), F.lit(f"the value of column {name} is no {kind}"))
     if kind == "u64":
         wrong = raw.isNotNull() & (got.isNull() | (got < 0))
     elif kind == "bool":
         wrong = raw.isNotNull() & got.isNull()
     else:
         wrong = raw.isNotNull() & (got.isNull() | _not_a_string(name, value))
-    return F.coalesce(missing, null, F.when(wrong, F.lit(f"jsonl column must be {kind}")))
+    return F.coalesce(missing, null, F.when(wrong, F.lit(f"the value of column {name} is no {kind}")))
 
 
 def _not_a_string(name: str, value: str) -> Column:

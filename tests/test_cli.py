@@ -26,6 +26,12 @@ def test_encode_scan_decode(spark, tmp_path):
     assert run(["inspect", t], spark)["row_count"] == 4
     assert run(["validate", t], spark)["sound"]
     assert run(["repair", t, str(tmp_path / "fixed")], spark)["action"] == "None"
+    table = spark.read.parquet(t)
+    table.withColumn("id", table["id"] + (table["row_index"] == 2).cast("long")).write.parquet(str(tmp_path / "broken"))
+    spark.read.parquet(f"{t}/_footer").write.parquet(str(tmp_path / "broken/_footer"))
+    assert run(["validate", str(tmp_path / "broken")], spark)["bad_checksums"] == 1
+    assert run(["repair", str(tmp_path / "broken"), str(tmp_path / "mended")], spark)["action"] == "TruncateTailAndRebuildFooter"
+    assert spark.read.parquet(str(tmp_path / "mended")).count() == 2
     with pytest.raises(ValueError):
         run(["decode", t, str(tmp_path / "x"), "--columns", "missing"], spark)
     json.dumps(run(["bench", t, "--iterations", "1"], spark))
@@ -59,6 +65,7 @@ def test_streams(spark, tmp_path):
     run(["stream-replay", log, str(tmp_path / "out")], spark)
     assert len(text_of(tmp_path / "out")) == 3
     assert run(["stream-roll", log, str(tmp_path / "seg"), "--block-rows", "1", "--max-blocks", "2"], spark) == {"segments": 2}
+    assert run(["stream-roll", log, str(tmp_path / "seg2"), "--max-segment-bytes", "20", "--block-bytes", "30"], spark) == {"segments": 3}
 
 
 def test_search_and_files(spark, tmp_path):
