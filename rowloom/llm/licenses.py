@@ -21,23 +21,66 @@ from pyspark.sql import functions as F
 from .session import bound_batches
 from .textbytes import runs
 
-#: Templates: fixed wordings of public licences and of the usual notices.
-TEMPLATES = {
+#: Texts: fixed wordings of public licences, or of the notices that they ask for.
+TEXTS = {
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-    "MIT-notice": "Released under the MIT License.",
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "LGPL-3.0": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide.",
 }
+#: Names of public licences: fixed values.
+NAMES = {
+    "0BSD": ("Zero-Clause BSD License",),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU AGPL v3.0"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "Artistic-2.0": ("Artistic License 2.0",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "BSD License"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "CC0-1.0": ("CC0 1.0 Universal", "CC0 1.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License v2.0"),
+    "EUPL-1.2": ("European Union Public Licence 1.2", "EUPL 1.2"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2.0"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3.0"),
+    "ISC": ("ISC License",),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU LGPL v3.0"),
+    "MIT": ("MIT License", "MIT Licence", "Expat License"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL 2.0"),
+    "Unlicense": ("Unlicense",),
+    "WTFPL": ("WTFPL",),
+    "Zlib": ("zlib License",),
+}
+#: What a Creative Commons licence may ask for, its name in full, and the versions: fixed values.
+CC_TERMS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
+#: How notices name a licence: fixed values.
+FRAMES = ("under {}", "under the {}", "under a {}", "under the terms of the {}", "subject to the terms of the {}", "available under the {}", "licence is the {}")
+
+
+def notices() -> dict[str, str]:
+    """A template for each frame, name and version."""
+    named = {k: list(v) for k, v in NAMES.items()}
+    for term, full in CC_TERMS.items():
+        for version in CC_VERSIONS:
+            kind = "International" if version == "4.0" else "Unported" if version == "3.0" else "Generic"
+            named[f"CC-{term}-{version}"] = [f"CC {term} {version}", f"Creative Commons {full} {version} {kind} License", f"Creative Commons {full} {version}"]
+    return {f"{licence}-notice/{i}.{j}": frame.format(name) for licence, names in named.items() for i, name in enumerate(names) for j, frame in enumerate(FRAMES)}
+
+
+#: Texts and notices by name; what follows a slash tells forms of one notice apart.
+TEMPLATES = TEXTS | notices()
 #: Lines with one of these words, and the words around them that one template may take up, are scanned.
-TRIGGER = re.compile(r"licen[cs]e|copyright|permission|warrant|redistribut|public domain|creative commons|as is\b|gnu general", re.I | re.A)
+TRIGGER = re.compile(r"licen[cs]e|\bcc[ -]?(?:by|0)\b|\b(?:[al]?gpl|mpl|wtfpl|eupl)\b|copyright|permission|warrant|redistribut|public domain|creative commons|as is\b|gnu general", re.I | re.A)
 #: Lines without such a word that may lie inside a block that is counted.
 GAP_LINES = 2
 #: Share of a template's words that may be missing or added.
@@ -52,6 +95,8 @@ class Template:
     words: list[str]
     compressor: object
     own: int
+    #: Words that may be missing or added: none of a notice, where one word tells licences apart.
+    most: int
 
 
 @lru_cache(maxsize=1)
@@ -63,7 +108,7 @@ def _compressors(items: tuple[tuple[str, str], ...]) -> tuple[list[Template], ob
     out = []
     for name, text in items:
         raw = zstandard.ZstdCompressionDict(normal(text).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out.append(Template(name, words_of(text), zstandard.ZstdCompressor(compression_params=params, dict_data=raw), len(alone.compress(normal(text).encode()))))
+        out.append(Template(name, words_of(text), zstandard.ZstdCompressor(compression_params=params, dict_data=raw), len(alone.compress(normal(text).encode())), 0 if "/" in name else int(TOLERANCE * len(words_of(text)))))
     return out, alone
 
 
@@ -109,16 +154,16 @@ def rank(words: list[str], templates: list[Template], alone: object) -> list[tup
     return [(-share, t) for _, share, _, t in ranked]
 
 
-def pieces(template: list[str]) -> Iterator[tuple[int, list[str]]]:
+def pieces(template: list[str], most: int) -> Iterator[tuple[int, list[str]]]:
     """Places and words of as many parts as a copy may have differences, and one: a copy has one of them unchanged."""
-    n = int(TOLERANCE * len(template)) + 1
+    n = most + 1
     bounds = [len(template) * i // n for i in range(n + 1)]
     yield from ((a, template[a:b]) for a, b in zip(bounds, bounds[1:], strict=False) if a < b)
 
 
-def seeds(template: list[str], words: list[str], places: dict[str, list[int]]) -> list[tuple[int, int, int]]:
+def seeds(template: list[str], most: int, words: list[str], places: dict[str, list[int]]) -> list[tuple[int, int, int]]:
     """Where parts of the template stand unchanged: place and end of the part, and where the template would begin."""
-    return sorted((at, at + len(part), at - off) for off, part in pieces(template) for at in places.get(part[0], ()) if words[at : at + len(part)] == part)
+    return sorted((at, at + len(part), at - off) for off, part in pieces(template, most) for at in places.get(part[0], ()) if words[at : at + len(part)] == part)
 
 
 def differences(template: list[str], words: list[str | None]) -> tuple[int, int, int, int]:
@@ -140,8 +185,28 @@ def differences(template: list[str], words: list[str | None]) -> tuple[int, int,
     return missing, total - missing, first, last
 
 
-def scan_text(text: str, templates: list[Template], alone: object) -> list[tuple[str, int, int, float, int, int]]:
-    """Confirmed licences: name, first and last line, reduction, missing and extra words, in order of place."""
+def wording(template: list[str], words: list[str]) -> str:
+    """The exact differences: words of the template that are missing (-) and others (+), in order, of the shortest such list."""
+    # Least differences of each pair of ends.
+    cost = [[i + j if not i or not j else 0 for j in range(len(words) + 1)] for i in range(len(template) + 1)]
+    for i, t in enumerate(template, 1):
+        for j, w in enumerate(words, 1):
+            cost[i][j] = cost[i - 1][j - 1] if t == w else 1 + min(cost[i - 1][j], cost[i][j - 1])
+    out, i, j = [], len(template), len(words)
+    while i or j:
+        if i and j and template[i - 1] == words[j - 1]:
+            i, j = i - 1, j - 1
+        elif i and (not j or cost[i - 1][j] <= cost[i][j - 1]):
+            i -= 1
+            out.append("-" + template[i])
+        else:
+            j -= 1
+            out.append("+" + words[j])
+    return " ".join(reversed(out))
+
+
+def scan_text(text: str, templates: list[Template], alone: object) -> list[tuple[str, int, int, float, int, int, str]]:
+    """Confirmed licences: name, first and last line, reduction, missing and extra words, the differences in wording; in order of place."""
     found = []
     longest = max((len(t.words) for t in templates), default=0)
     for placed in blocks(text, longest + int(TOLERANCE * longest)):
@@ -149,10 +214,10 @@ def scan_text(text: str, templates: list[Template], alone: object) -> list[tuple
         places: dict[str, list[int]] = {}
         for i, w in enumerate(words):
             places.setdefault(w, []).append(i)
-        at_parts = {t.name: found_at for t in templates if (found_at := seeds(t.words, words, places))}
+        at_parts = {t.name: found_at for t in templates if (found_at := seeds(t.words, t.most, words, places))}
         free: list[str | None] = list(words)
         for reduction, t in rank(words, [t for t in templates if t.name in at_parts], alone) if at_parts else ():
-            most = int(TOLERANCE * len(t.words))
+            most = t.most
             for at, end, begin in at_parts[t.name]:
                 # A copy around this part lies within the template's length and tolerance.
                 while all(free[at:end]):
@@ -162,7 +227,7 @@ def scan_text(text: str, templates: list[Template], alone: object) -> list[tuple
                         break
                     a, b = low + first, low + last
                     free[a : b + 1] = [None] * (b - a + 1)
-                    found.append((t.name, placed[a][0], placed[b][0], reduction, missing, extra))
+                    found.append((t.name.split("/")[0], placed[a][0], placed[b][0], reduction, missing, extra, wording(t.words, words[a : b + 1])))
     return sorted(found, key=lambda f: (f[1], f[2], f[0]))
 
 
@@ -171,12 +236,13 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None) -> D
 
     One row per row of ``docs``: doc_id, n_blocks (candidates), n_licences, licences (names in
     order of place, comma-joined), spans (name:first line:last line:missing:extra, joined
-    likewise), reduction (the largest, null without any). A null or empty text has none.
+    likewise), differences (the wording: -word is missing, +word stands instead or besides;
+    of licences with any), reduction (the largest, null without any). A null or empty text has none.
     Null or repeated ids stay. Only doc_id and text are read.
     """
     bound_batches(docs.sparkSession)
     items = tuple(sorted((TEMPLATES if templates is None else templates).items()))
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, alone = _compressors(items)
@@ -187,7 +253,7 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None) -> D
                 for text in part.column(1).to_pylist():
                     has = bool(text) and TRIGGER.search(text) is not None
                     found = scan_text(text, known, alone) if has else []
-                    out.append((n_blocks(text) if has else 0, len(found), ",".join(f[0] for f in found), ",".join(":".join(map(str, (*f[:3], *f[4:]))) for f in found), max((f[3] for f in found), default=None)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_blocks", "n_licences", "licences", "spans", "reduction"])
+                    out.append((n_blocks(text) if has else 0, len(found), ",".join(f[0] for f in found), ",".join(":".join(map(str, (*f[:3], *f[4:6]))) for f in found), "; ".join(f"{f[0]}: {f[6]}" for f in found if f[6]), max((f[3] for f in found), default=None)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_blocks", "n_licences", "licences", "spans", "differences", "reduction"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, n_blocks long, n_licences long, licences string, spans string, reduction double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, n_blocks long, n_licences long, licences string, spans string, differences string, reduction double")
