@@ -1,4 +1,10 @@
-"""A corpus pipeline: each stage calls one operator on what its predecessor kept."""
+"""A corpus pipeline: each stage calls one operator on what its predecessor kept.
+
+A null text counts as empty in all stages and stays null until the last, where it has no tokens.
+A null or empty text is never toxic, near another or contaminated, so its row stays; so does a
+row with a null id. Equal rows (same id, same text) are one document: all stay or all go. Other
+columns pass through all stages but the last. No documents: no rows.
+"""
 
 from __future__ import annotations
 
@@ -17,13 +23,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines near an earlier line go; every document stays, with n_chars of its new text."""
+    """Lines near an earlier line go; every document stays, with n_chars of its new text (null of a null text)."""
     out = linededup.dedup_lines(docs).drop("n_lines", "n_kept_lines")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that of the least id; of ids that are all null, each."""
     return minhash.drop_near_duplicates(docs)
 
 

@@ -366,3 +366,37 @@ def test_pipeline_stages(spark):
         if i == 4:
             assert out.count() == docs.count() and out.where("NOT round_trip").isEmpty()
         docs = out
+
+
+def test_pipeline_hard(spark, hard_docs, no_docs):
+    """Null and empty texts, a null id, repeated rows and clashing columns pass each stage; no rows give none."""
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    scratch = Scratch(spark, "t")
+    for i, (_, stage) in enumerate(cp.STAGES):
+        out = scratch.keep(stage(spark, hard_docs, sf))
+        assert scratch.keep(stage(spark, no_docs, sf)).count() == 0
+        rows = out.collect()
+        # What repeats is one document; of the texts without words all stay.
+        assert sorted(str(r.doc_id) for r in rows) == ["1", "2", "3", "5", "5", "6", "7", "None"]
+        if i < 4:
+            assert out.columns == hard_docs.columns and all(r.kept == r.comp == r["_doc"] == "x" for r in rows)
+            assert next(r.text for r in rows if r.doc_id == 1) is None and next(r.text for r in rows if r.doc_id == 2) == ""
+        else:
+            assert {r.doc_id: r.n_tokens for r in rows}[1] == 0 and all(r.round_trip for r in rows)
+
+
+def test_pipeline_run(spark, make_docs, tmp_path):
+    """From documents to tokens: a toxic one, an exact and a near copy, a benchmark passage go; the clean ones stay."""
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    rng = random.Random(5)
+    clean = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(4)]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("size(split(text, ' ')) >= 12").first().text
+    make_docs([*clean, clean[1], clean[2] + " end", clean[3][:200] + "\n" + item]).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0 if name == "labels" else 10**6).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.doc_id: r.n_tokens for r in cp.run(spark, str(tmp_path)).collect()}
+    assert {i for i, n in got.items() if n} == {0, 1, 2, 3} and 6 not in got
