@@ -253,18 +253,48 @@ def column_metadata_size(name: str, kind: str, codec: str, has_values: bool = Tr
 # codecs over DataFrames
 
 
-def encode_column(df: DataFrame, value: str, kind: str, codec: str, order: str = "row_index", group: str = "row_group") -> DataFrame:
-    """group, payload, count: byte-exact payloads. A task holds one row group, which the writer bounds."""
+def encode_column(df: DataFrame, value: str, kind: str, codec: str, order: str = "row_index", group: str = "row_group", nullable: bool = False) -> DataFrame:
+    """group, payload, count: byte-exact payloads. A task holds one row group, which the writer bounds.
+
+    A nullable column's payload begins with the validity bits of all its rows, and the
+    count is that of the rows; otherwise nulls are left out and not counted.
+    """
     import pandas as pd
 
-    encode: Callable = (lambda v: encode_numbers(codec, [int(x) for x in v])[0]) if kind == "u64" else (lambda v: encode_strings(codec, list(v))) if kind == "string" else (lambda v: encode_bools(list(v), False))
+    encode: Callable = (lambda v: encode_numbers(codec, [int(x) for x in v])[0]) if kind == "u64" else (lambda v: encode_strings(codec, v)) if kind == "string" else (lambda v: encode_bools([bool(x) for x in v], False))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        values = rows.sort_values(order)[value]
-        return pd.DataFrame({group: [key[0]], "payload": [encode(values)], "count": [len(values)]})
+        rows = rows.sort_values(order)
+        validity = P.bitmap_encode(list(rows["_there"])) if nullable else b""
+        return pd.DataFrame({group: [key[0]], "payload": [validity + encode(list(rows.loc[rows["_there"], "_value"]))], "count": [len(rows)]})
+
+    # A null stands as a value of its type, so that Arrow keeps 64-bit integers exact.
+    filler = {"u64": F.lit(0).cast("long"), "string": F.lit(""), "bool": F.lit(False)}[kind]
+    small = df.select(group, order, F.coalesce(value, filler).alias("_value"), F.col(value).isNotNull().alias("_there"))
+    return (small if nullable else small.where("_there")).groupBy(group).applyInPandas(one, f"{group} long, payload binary, count long")
+
+
+def decode_payload(kind: str, codec: str, data: bytes, count: int, parts: tuple[int, ...] = (), nullable: bool = False) -> list:
+    """The values of one payload of ``encode_column``, nulls in their places."""
+    size = -(-count // 8) if nullable else 0
+    there = P.bitmap_decode(data[:size], count) if nullable else [True] * count
+    data, n = data[size:], sum(there)
+    values = iter(decode_numbers(codec, data, n, parts) if kind == "u64" else decode_strings(codec, data, n) if kind == "string" else decode_bools(data, n, False))
+    return [next(values) if t else None for t in there]
+
+
+def delta_rows(df: DataFrame, value: str, order: str = "row_index", group: str = "row_group", signed: bool = False) -> DataFrame:
+    """order, group, delta: each group's first value, then differences. Unsigned values that decrease fail the query."""
+    before = F.lag(value).over(W.partitionBy(group).orderBy(order))
+    delta = F.col(value) - F.coalesce(before, F.lit(0))
+    if not signed:
+        delta = F.when(F.col(value) < F.coalesce(before, F.lit(0)), F.raise_error(F.lit("delta input must not decrease")).cast("long")).otherwise(delta)
+    return df.select(order, group, delta.alias("delta"))
+
 
-    small = df.where(F.col(value).isNotNull()).select(group, order, value)
-    return small.groupBy(group).applyInPandas(one, f"{group} long, payload binary, count long")
+def undelta_rows(deltas: DataFrame, order: str = "row_index", group: str = "row_group", name: str = "value") -> DataFrame:
+    """order, group and the values that ``delta_rows`` was given."""
+    return deltas.select(order, group, F.sum("delta").over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)).alias(name))
 
 
 def dictionary_encode(df: DataFrame, value: str, order: str = "row_index") -> tuple[DataFrame, DataFrame]:

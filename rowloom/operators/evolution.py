@@ -90,19 +90,29 @@ def assess(writer: Revision, reader: Revision) -> Assessment:
 
 
 def assess_table(spark: SparkSession, writer: Revision, reader: Revision) -> DataFrame:
-    """The same as rows: stable_id, outcome. A full join on the ids of two small column lists."""
+    """The same as rows: stable_id, outcome, one for each issue of a column, else one for its action. A full join on the ids of two small column lists.
+
+    An older reader's revision is a row without a column.
+    """
     schema = "stable_id long, name string, type string, nullable boolean, has_default boolean"
     rows = lambda r: spark.createDataFrame([(c.stable_id, c.name, c.type, c.nullable, c.default is not None) for c in r.columns], schema)
     w, r = rows(writer).alias("w"), rows(reader).alias("r")
     both = w.join(r, F.col("w.stable_id") == F.col("r.stable_id"), "full")
-    outcome = (
+    shared = F.col("w.stable_id").isNotNull() & F.col("r.stable_id").isNotNull()
+    issues = F.array_compact(F.array(
+        F.when(shared & (F.col("w.type") != F.col("r.type")), F.lit("ValueTypeChanged")),
+        F.when(shared & F.col("w.nullable") & ~F.col("r.nullable"), F.lit("NullabilityTightened")),
+    ))
+    single = (
         F.when(F.col("r.stable_id").isNull(), "Drop")
         .when(F.col("w.stable_id").isNull(), F.when(F.col("r.has_default"), "FillDefault").when(F.col("r.nullable"), "FillNull").otherwise("RequiredColumnAddedWithoutDefault"))
-        .when(F.col("w.type") != F.col("r.type"), "ValueTypeChanged")
-        .when(F.col("w.nullable") & ~F.col("r.nullable"), "NullabilityTightened")
         .otherwise("Read")
     )
-    return both.select(F.coalesce("r.stable_id", "w.stable_id").alias("stable_id"), F.col("w.name").alias("writer_name"), F.col("r.name").alias("reader_name"), outcome.alias("outcome"))
+    outcome = F.explode(F.when(F.size(issues) > 0, issues).otherwise(F.array(single)))
+    out = both.select(F.coalesce("r.stable_id", "w.stable_id").alias("stable_id"), F.col("w.name").alias("writer_name"), F.col("r.name").alias("reader_name"), outcome.alias("outcome"))
+    if reader.revision < writer.revision:
+        out = out.unionByName(spark.createDataFrame([(None, None, None, "ReaderRevisionIsOlder")], out.schema))
+    return out
 
 
 def evolve(df: DataFrame, writer: Revision, reader: Revision) -> DataFrame:

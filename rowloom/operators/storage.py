@@ -28,7 +28,7 @@ def format_version(content: Column) -> Column:
 
 
 def detect_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, format_version of each file of a folder. Only the heads of the files are looked at."""
+    """path, length, format_version of each file of a folder. Only the heads decide, but Spark's reader loads each file (2 GB at most) into its task."""
     return spark.read.format("binaryFile").load(path).select("path", "length", format_version(F.col("content")).alias("format_version"))
 
 

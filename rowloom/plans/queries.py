@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs as C
+from ..functions import frames
 from ..functions import primitives as P
 from ..operators import evolution as V
 from ..operators import layout, scan, search, stats, storage
@@ -50,6 +51,14 @@ def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 EV = "(SELECT event_id AS row_index, event_id, epoch_us(ts) AS ts, user_id, event_type, nullif(event_type, 'error') AS svc, value > 100 AS active FROM events)"
 EVG = f"(SELECT *, CAST(floor(row_index / {GROUP}) AS BIGINT) AS row_group FROM {EV})"
 
+
+def crc_sql(octets: str) -> str:
+    """CRC-32 of a list of byte values: each byte is mixed in, then shifted out bit by bit (-1 marks a bit)."""
+    steps = f"flatten(list_transform({octets}, lambda o: [o, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    mix = "CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce(CAST({steps} AS BIGINT[]), lambda c, x: {mix}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
 # scans
 
 
@@ -255,7 +264,29 @@ def roll_by_blocks(spark, sf_dir):
     return layout.roll_segments(_blocks(spark, sf_dir), max_blocks=4, size="raw_size").select("block_index", "segment_id", "block_in_segment")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE t AS (SELECT block_index, CAST(raw_size AS BIGINT) AS used, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS segment FROM {BLOCKS} WHERE block_index = 0 UNION ALL
+SELECT b.block_index, CASE WHEN t.n >= 5 OR t.used >= 2500 THEN b.raw_size ELSE t.used + b.raw_size END, CASE WHEN t.n >= 5 OR t.used >= 2500 THEN 1 ELSE t.n + 1 END,
+CASE WHEN t.n >= 5 OR t.used >= 2500 THEN t.segment + 1 ELSE t.segment END FROM t JOIN {BLOCKS} b ON b.block_index = t.block_index + 1)
+SELECT block_index, segment AS segment_id, n - 1 AS block_in_segment FROM t"""
+)
+def roll_by_bytes(spark, sf_dir):
+    return layout.roll_segments(_blocks(spark, sf_dir), max_blocks=5, max_bytes=2500, size="raw_size").select("block_index", "segment_id", "block_in_segment")
+
+
+@query(f"SELECT row_index, event_id, event_type FROM {EVG} WHERE row_group < (SELECT min(row_group) FROM {EVG} WHERE row_index % 3000 = 2999)")
+def replay_valid_prefix(spark, sf_dir):
+    """Replay of a log of which blocks were damaged after their checksums were taken: rows before the first such block."""
+    data = grouped(spark, sf_dir).select("row_index", "row_group", "event_id", "event_type")
+    damaged = data.withColumn("event_type", F.when(F.col("row_index") % 3000 == 2999, F.reverse("event_type")).otherwise(F.col("event_type")))
+    stated = storage.seal(data).select("block_index", F.col("crc").alias("stated"))
+    blocks = storage.seal(damaged).join(stated, "block_index").withColumn("valid", F.col("crc") == F.col("stated"))
+    log = damaged.withColumnRenamed("row_group", "block_index")
+    return append.replay(log, storage.recover_prefix(blocks)).select("row_index", "event_id", "event_type")
+
+
+@query(f"""SELECT checkpoint_id, CAST(length(s) AS BIGINT) AS raw_len, {crc_sql("list_transform(string_split(s, ''), lambda d: CAST(ascii(d) AS BIGINT))")} AS crc
+FROM (SELECT user_id AS checkpoint_id, CAST(sum(event_id) AS VARCHAR) AS s FROM events GROUP BY user_id)""")
 def snapshot_crc(spark, sf_dir):
     states = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum("event_id").alias("s"))
     return append.snapshots(states.select(F.col("user_id").alias("checkpoint_id"), F.encode(F.col("s").cast("string"), "UTF-8").alias("state"))).select("checkpoint_id", "raw_len", "crc")
@@ -272,27 +303,17 @@ def detect_formats(spark, sf_dir):
 
 @query(f"SELECT row_index, row_group, ts - coalesce(lag(ts) OVER (PARTITION BY row_group ORDER BY row_index), 0) AS delta FROM {EVG}")
 def delta_u64_encode(spark, sf_dir):
-    return _delta(grouped(spark, sf_dir), "ts")
-
-
-def _delta(df: DataFrame, value: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    before = F.coalesce(F.lag(value).over(W.partitionBy("row_group").orderBy("row_index")), F.lit(0))
-    return df.select("row_index", "row_group", (F.col(value) - before).alias("delta"))
+    return C.delta_rows(grouped(spark, sf_dir), "ts")
 
 
 @query(f"SELECT row_index, ts AS value FROM {EV}")
 def delta_u64_decode(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    deltas = _delta(grouped(spark, sf_dir), "ts")
-    return deltas.select("row_index", F.sum("delta").over(W.partitionBy("row_group").orderBy("row_index")).alias("value"))
+    return C.undelta_rows(C.delta_rows(grouped(spark, sf_dir), "ts")).select("row_index", "value")
 
 
 @query(f"SELECT row_index, d AS delta, CASE WHEN d < 0 THEN -2 * d - 1 ELSE 2 * d END AS zigzag FROM (SELECT row_index, user_id - coalesce(lag(user_id) OVER (PARTITION BY row_group ORDER BY row_index), 0) AS d FROM {EVG})")
 def delta_i64_zigzag(spark, sf_dir):
-    return _delta(grouped(spark, sf_dir), "user_id").select("row_index", "delta", P.zigzag(F.col("delta")).alias("zigzag"))
+    return C.delta_rows(grouped(spark, sf_dir), "user_id", signed=True).select("row_index", "delta", P.zigzag(F.col("delta")).alias("zigzag"))
 
 
 WIDTH = "CASE WHEN {0} = 0 THEN 0 ELSE length(bin({0})) END"
@@ -388,17 +409,70 @@ def auto_codec(spark, sf_dir):
     return C.auto_codec(C.number_sizes(grouped(spark, sf_dir), "ts"), "u64")
 
 
-@query()
+# The event types are ASCII and shorter than 128 bytes, as the SQL of their byte streams takes for granted.
+STREAM = f"""(SELECT row_group, row_index, k, CASE WHEN k = 0 THEN strlen(event_type) ELSE ascii(substr(event_type, k, 1)) END AS octet
+FROM (SELECT row_group, row_index, event_type, unnest(range(0, strlen(event_type) + 1)) AS k FROM {EVG}))"""
+RUNS = f"""(SELECT row_group, run, octet, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY row_group ORDER BY row_index, k) AS run
+FROM (SELECT *, CASE WHEN octet = lag(octet) OVER (PARTITION BY row_group ORDER BY row_index, k) THEN 0 ELSE 1 END AS fresh FROM {STREAM})) GROUP BY row_group, run, octet)"""
+ENTRIES = f"(SELECT row_group, event_type, n, row_number() OVER (PARTITION BY row_group ORDER BY f) - 1 AS id FROM (SELECT row_group, event_type, min(row_index) AS f, count(*) AS n FROM {EVG} GROUP BY ALL))"
+
+
+@query(
+    f"""WITH p AS (SELECT row_group, event_type AS v, lag(event_type) OVER (PARTITION BY row_group ORDER BY row_index) AS b FROM {EVG}),
+q AS (SELECT row_group, strlen(v) AS size, CASE WHEN b IS NULL THEN 0 ELSE coalesce(len(list_filter(range(1, least(strlen(b), strlen(v)) + 1), lambda i: substr(b, 1, i) = substr(v, 1, i))), 0) END AS shared FROM p),
+a AS (SELECT row_group, count(*) AS value_count, CAST(sum(1 + size) AS BIGINT) AS stored, CAST(sum(2 + size - shared) AS BIGINT) AS prefix FROM q GROUP BY row_group),
+d AS (SELECT row_group, CAST(1 + sum(1 + strlen(event_type) + n) AS BIGINT) AS dictionary FROM {ENTRIES} GROUP BY row_group),
+r AS (SELECT row_group, CAST(sum(2 * ceil(n / 255.0)) AS BIGINT) AS rle FROM {RUNS} GROUP BY row_group)
+SELECT * FROM a JOIN d USING (row_group) JOIN r USING (row_group)"""
+)
 def string_codec_sizes(spark, sf_dir):
     return C.string_sizes(grouped(spark, sf_dir), "event_type")
 
 
-@query()
+PAYLOADS = (("ts", "u64", "delta_bitpack"), ("event_type", "string", "dictionary"), ("event_type", "string", "rle"), ("active", "bool", "bitmap"))
+
+
+def _packed(width: str, value: str, rows: str) -> str:
+    """row_group, octets, n: values of ``width`` bits, lowest bit first, in bytes."""
+    bits = f"SELECT row_group, n, i * w + j AS spot, (v >> CAST(j AS INT)) & 1 AS bit FROM (SELECT row_group, n, i, w, v, unnest(range(0, w)) AS j FROM (SELECT row_group, n, i, {width} AS w, {value} AS v FROM {rows}))"
+    octets = f"SELECT row_group, n, CAST(floor(spot / 8) AS BIGINT) AS place, CAST(sum(bit << CAST(spot % 8 AS INT)) AS BIGINT) AS octet FROM ({bits}) GROUP BY ALL"
+    return f"SELECT row_group, n, list(octet ORDER BY place) AS octets FROM ({octets}) GROUP BY row_group, n"
+
+
+TS = f"""(SELECT row_group, i, v, count(*) OVER g AS n, length(bin(max(v) OVER g)) AS w FROM (SELECT row_group, row_index % {GROUP} AS i, coalesce(ts - lag(ts) OVER (PARTITION BY row_group ORDER BY row_index), 0) AS v FROM {EVG}) WINDOW g AS (PARTITION BY row_group))"""
+FLAGS = f"(SELECT row_group, row_index % {GROUP} AS i, CAST(active AS BIGINT) AS v, count(*) OVER (PARTITION BY row_group) AS n FROM {EVG})"
+
+
+@query(
+    f"""WITH ts AS ({_packed('w', 'v', TS)}), active AS ({_packed('CAST(1 AS BIGINT)', 'v', FLAGS)}), e AS (SELECT * FROM {ENTRIES}),
+names AS (SELECT row_group, count(*) AS entries, flatten(list(list_prepend(CAST(strlen(event_type) AS BIGINT), list_transform(string_split(event_type, ''), lambda c: CAST(ascii(c) AS BIGINT))) ORDER BY id)) AS octets FROM e GROUP BY row_group),
+ids AS (SELECT row_group, count(*) AS n, list(CAST(id AS BIGINT) ORDER BY row_index) AS octets FROM {EVG} JOIN e USING (row_group, event_type) GROUP BY row_group),
+dictionary AS (SELECT row_group, ids.n, flatten([[CAST(entries AS BIGINT)], names.octets, ids.octets]) AS octets FROM names JOIN ids USING (row_group)),
+rle AS (SELECT row_group, flatten(list([CAST(n AS BIGINT), CAST(octet AS BIGINT)] ORDER BY run)) AS octets FROM {RUNS} GROUP BY row_group),
+u AS (SELECT 'ts' AS name, row_group, n, octets FROM ts UNION ALL SELECT 'active', row_group, n, octets FROM active UNION ALL SELECT 'event_type', row_group, n, octets FROM dictionary
+UNION ALL SELECT 'event_type', row_group, ids.n, rle.octets FROM rle JOIN ids USING (row_group))
+SELECT name AS "column", row_group, n AS count, CAST(len(octets) AS INT) AS bytes, {crc_sql('octets')} AS crc FROM u"""
+)
 def column_payloads(spark, sf_dir):
-    parts = [C.encode_column(grouped(spark, sf_dir), c, k, codec).select(F.lit(c).alias("column"), "row_group", "count", F.octet_length("payload").alias("bytes"), F.crc32("payload").alias("crc")) for c, k, codec in (("ts", "u64", "delta_bitpack"), ("event_type", "string", "dictionary"), ("event_type", "string", "rle"), ("active", "bool", "bitmap"))]
+    """Sound SQL for runs of fewer than 256 equal bytes."""
+    parts = [C.encode_column(grouped(spark, sf_dir), c, k, codec).select(F.lit(c).alias("column"), "row_group", "count", F.octet_length("payload").alias("bytes"), F.crc32("payload").alias("crc")) for c, k, codec in PAYLOADS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+@query(
+    f"""WITH c AS (SELECT c_custkey, k, ascii(substr(c_name, k, 1)) AS octet FROM (SELECT c_custkey, c_name, unnest(range(1, length(c_name) + 1)) AS k FROM customer)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY c_custkey ORDER BY k) AS run FROM (SELECT *, CASE WHEN octet = lag(octet) OVER (PARTITION BY c_custkey ORDER BY k) THEN 0 ELSE 1 END AS fresh FROM c)),
+p AS (SELECT c_custkey, flatten(list([n, CAST(octet AS BIGINT)] ORDER BY run)) AS octets FROM (SELECT c_custkey, run, octet, count(*) AS n FROM r GROUP BY ALL) GROUP BY c_custkey)
+SELECT c_custkey, '434D50310101' || printf('%02X', len(octets)) || '00000000000000' AS head, {crc_sql('octets')} AS crc, c_name AS content FROM p JOIN customer USING (c_custkey)"""
+)
+def raw_frames(spark, sf_dir):
+    """Names as run-length coded payloads in frames, and read out of them again."""
+    framed = table(spark, sf_dir, "customer").select("c_custkey", frames.frame("rle", frames.rle_payload(F.encode("c_name", "UTF-8"))).alias("frame"))
+    digits = F.hex("frame")
+    crc = F.conv(F.concat(*(F.substring(digits, 29 + 2 * i, 2) for i in (3, 2, 1, 0))), 16, 10).cast("long")
+    return framed.select("c_custkey", F.substring(digits, 1, 28).alias("head"), crc.alias("crc"), F.decode(frames.rle_content(frames.unframe("rle", F.col("frame"))), "UTF-8").alias("content"))
+
+
 @query(f"SELECT row_group, CAST(ceil(count(*) * length(bin(max(user_id))) / 8.0) AS BIGINT) / CAST(8 * count(*) AS DOUBLE) AS ratio FROM {EVG} GROUP BY row_group")
 def compression_ratio(spark, sf_dir):
     sizes = C.number_sizes(grouped(spark, sf_dir), "user_id")
@@ -455,9 +529,27 @@ def seek_doc(spark, sf_dir):
     return search.seek_doc(postings(spark, sf_dir), "the", 7)
 
 
-@query(f"SELECT term, ordinal, first_doc_id, previous_doc_id FROM (SELECT term, row_number() OVER w - 1 AS ordinal, doc_id AS first_doc_id, coalesce(lag(doc_id) OVER w, 0) AS previous_doc_id FROM {POSTINGS} WINDOW w AS (PARTITION BY term ORDER BY doc_id)) WHERE ordinal % 16 = 0")
+VARINT = f"greatest(1, ceil(({WIDTH}) / 7.0))"
+
+
+@query(
+    f"""WITH g AS (SELECT term, doc_id, position - coalesce(lag(position) OVER (PARTITION BY term, doc_id ORDER BY position), 0) AS gap FROM {TOKENS} WHERE term <> ''),
+n AS (SELECT term, doc_id, count(*) AS n, sum({VARINT.format('gap')}) AS size FROM g GROUP BY term, doc_id),
+b AS (SELECT *, row_number() OVER w - 1 AS ordinal, coalesce(lag(doc_id) OVER w, 0) AS previous_doc_id FROM n WINDOW w AS (PARTITION BY term ORDER BY doc_id)),
+z AS (SELECT *, size + {VARINT.format('n')} + {VARINT.format('(doc_id - previous_doc_id)')} AS whole FROM b)
+SELECT term, ordinal, first_doc_id, previous_doc_id, "offset" FROM (SELECT term, ordinal, doc_id AS first_doc_id, previous_doc_id, CAST(coalesce(sum(whole) OVER (PARTITION BY term ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM z) WHERE ordinal % 16 = 0"""
+)
 def skip_table(spark, sf_dir):
-    return search.skip_table(postings(spark, sf_dir), 16).drop("offset")
+    return search.skip_table(postings(spark, sf_dir), 16)
+
+
+@query(f"SELECT CASE WHEN doc_id % 50 = 7 THEN '' ELSE term END AS term, doc_id, CASE WHEN doc_id % 50 = 3 THEN list_reverse(positions) ELSE positions END AS positions FROM {POSTINGS} WHERE doc_id % 50 = 7 OR (doc_id % 50 = 3 AND len(positions) > 1)")
+def posting_faults_found(spark, sf_dir):
+    """An index with terms lost in some documents and positions out of order in others."""
+    p = postings(spark, sf_dir)
+    term = F.when(F.col("doc_id") % 50 == 7, F.lit("")).otherwise(F.col("term")).alias("term")
+    positions = F.when(F.col("doc_id") % 50 == 3, F.reverse("positions")).otherwise(F.col("positions")).alias("positions")
+    return search.check_postings(p.select(term, "doc_id", positions))
 
 
 @query(f"SELECT term, doc_id, positions FROM {POSTINGS} WHERE false")
@@ -489,3 +581,13 @@ def evolve_rows(spark, sf_dir):
 @query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'event_id', 'event_id', 'ValueTypeChanged'), (2, 'svc', 'svc', 'NullabilityTightened'), (3, 'active', NULL, 'Drop'), (6, NULL, 'needed', 'RequiredColumnAddedWithoutDefault')) AS t(stable_id, writer_name, reader_name, outcome)")
 def evolve_assess(spark, sf_dir):
     return V.assess_table(spark, WRITER, STRICT)
+
+
+OLDER = V.Revision(1, (V.EvolvedColumn(1, "event_id", "u64"), V.EvolvedColumn(2, "svc", "u64"), V.EvolvedColumn(7, "note", "string", nullable=True)))
+NEWER = V.Revision(2, WRITER.columns)
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'event_id', 'event_id', 'Read'), (2, 'svc', 'svc', 'ValueTypeChanged'), (2, 'svc', 'svc', 'NullabilityTightened'), (3, 'active', NULL, 'Drop'), (7, NULL, 'note', 'FillNull'), (NULL, NULL, NULL, 'ReaderRevisionIsOlder')) AS t(stable_id, writer_name, reader_name, outcome)")
+def evolve_assess_issues(spark, sf_dir):
+    """An older reader, and a column with two issues."""
+    return V.assess_table(spark, NEWER, OLDER)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -42,6 +45,28 @@ def replay(log: DataFrame, blocks: DataFrame | None = None, block: str = "block_
     return log.orderBy("row_index")
 
 
+def blocks_in_order(log: DataFrame, block: str = "block_index", first: int = 0) -> Iterator[tuple[int, list[Row]]]:
+    """(block, its rows in order), block by block from ``first`` on.
+
+    Blocks are range-partitioned, so that each is whole in one partition. While a caller
+    handles one partition the next is computed, and no more than these two are on the driver.
+    """
+    rows = log.where(F.col(block) >= first).repartitionByRange(block).sortWithinPartitions(block, "row_index")
+    for key, group in groupby(rows.toLocalIterator(prefetchPartitions=True), lambda r: r[block]):
+        yield key, list(group)
+
+
+def deliver(log: DataFrame, handle: Callable[[int, list[Row]], None], block: str = "block_index", first: int = 0) -> int:
+    """Decodes blocks on the executors, calls ``handle`` in their order, and returns the number of the block to go on with.
+
+    A handler that fails ends the delivery; a later call with ``first`` goes on from any block.
+    """
+    for key, rows in blocks_in_order(log, block, first):
+        handle(key, rows)
+        first = key + 1
+    return first
+
+
 def ingest(spark: SparkSession, source: str, schema: Schema, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Follows a folder of JSON-lines files into a Parquet log; a restart goes on from the checkpoint."""
     parsed = parse_lines(spark.readStream.text(source), schema)
