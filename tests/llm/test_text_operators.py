@@ -156,6 +156,33 @@ def test_quality_hard(hard_docs, no_docs):
     assert fertility.quality_rules(no_docs, RANKS, PIECES).collect() == []
 
 
+def test_scripts():
+    texts = {"latin": "plain é", "cyrillic": "русский текст", "greek": "ελληνικά", "kana": "漢字かな漢字", "han": "漢字", "hangul": "한국어", "thai": "ภาษาไทย", "arabic": "العربية", "hebrew": "עברית", "devanagari": "हिन्दी", "other": "ꙮꙮꙮ"}
+    assert {k: fertility.script(t) for k, t in texts.items()} == {k: k for k in texts}
+    assert fertility.script("") == "latin"
+
+
+def test_fitted_bands(make_docs, hard_docs, no_docs):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    stems = ["дом", "река", "книга", "город", "читать", "новый", "вечер", "работа", "писать", "слово"]
+    texts = [" ".join(rng.choice(stems) + rng.choice(["", "ы", "ами", "ного", "ть"]) for _ in range(200)) for _ in range(60)]
+    docs = make_docs(texts).withColumn("lang", F.lit(None).cast("string"))
+    bands = fertility.fit_bands(docs, RANKS, PIECES, least_rows=50)
+    assert set(bands) == {"cyrillic"}
+    measured = fertility.quality_rules(docs, RANKS, PIECES, fertility.BANDS | bands).collect()
+    passed = [r for r in measured if not r.base_failed]
+    assert len(passed) >= 50 and {r.band for r in passed} == {"cyrillic"} and all(r.kept for r in passed)
+    chars = sorted(r.chars_per_token for r in passed)
+    assert bands["cyrillic"].least_chars == pytest.approx(0.97 * chars[0], abs=0.02) and bands["cyrillic"].most_chars == pytest.approx(1.03 * chars[-1], abs=0.02)
+    # The wide band of other scripts lets junk pass; the fitted one doesn't.
+    junk = make_docs([" ".join("".join(rng.choice("щъыэюяф") for _ in range(6)) for _ in range(200))]).withColumn("lang", F.lit(None).cast("string"))
+    assert fertility.quality_rules(junk, RANKS, PIECES).first().kept
+    assert not fertility.quality_rules(junk, RANKS, PIECES, fertility.BANDS | bands).first().kept
+    assert fertility.fit_bands(hard_docs, RANKS, PIECES, least_rows=1) == {} == fertility.fit_bands(no_docs, RANKS, PIECES)
+
+
 # licences
 
 
