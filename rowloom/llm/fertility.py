@@ -49,8 +49,8 @@ class Band:
 
 
 #: Bands by language, and by the script of most characters where the language is null or not listed; scripts
-#: without a band of their own take "other". The four lower limits of characters per token are what ``fit_bands``
-#: gives (0.5 % quantile less 3 %, to within 0.02) for documents labelled good; the other limits are wide ones, set by hand.
+#: without a band of their own take "other". All limits are set by hand; the four languages' lower limits of characters per token
+#: lie near the 0.5 % quantile of documents labelled good, less 3 %, which is the rule of ``fit_bands``.
 BANDS = {
     "en": Band(2.05, 6.5),
     "de": Band(2.10, 6.5),
