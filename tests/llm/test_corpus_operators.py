@@ -221,6 +221,34 @@ def test_fuzzy_lines_recall(spark, sf):
     assert near and sum(labels.get(r.a, r.a) == labels.get(r.b, r.b) for r in near) >= 0.9 * len(near)
 
 
+def test_simhash(spark):
+    """Both forms against a plain majority of the bits of the words' hashes; near lines share a key of it, others don't."""
+    rng = random.Random(7)
+    lines = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n)) for n in (1, 2, 3, 8, 30, 200)]
+    lines += [lines[4].replace(lines[4].split()[9], "changed"), "文" * 10 + "字" * 9, "twice the same twice"]
+    table = spark.createDataFrame([(x, i) for i, x in enumerate([*lines, lines[4], lines[4]])], "line string, spot long").select("line", F.length("line").alias("size"), "spot", F.xxhash64("line").alias("node"))
+    words = {x: {x[i : i + 3] for i in range(len(x) - 2)} if x[0] == "文" else set(x.split()) for x in lines}
+    of = spark.createDataFrame([(w,) for w in set().union(*words.values())], "w string").select("w", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(2), "w").alias("g")).collect()
+    name = {r.node: r.line for r in table.collect()}
+    want = {}
+    for x, u in words.items():
+        for k in "hg":
+            hashes = [r[k] for r in of if r.w in u]
+            sim = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+            want[x, k] = sim - (1 << 64 if sim >> 63 else 0)
+    for form in (linededup.simhashes, linededup.simhashes_of_long):
+        rows = form(table).collect()
+        assert len(rows) == len(lines)
+        for r in rows:
+            x = name[r.node]
+            assert (r.sim, r.sim2) == (want[x, "h"], want[x, "g"])
+            assert (r.units, r.weight, r.size) == (len(words[x]), 3 if x == lines[4] else 1, len(x))
+    nodes = linededup.simhashes(table)
+    shared = linededup.near_buckets(nodes, 16)
+    met = linededup.sim_keys(nodes, 16).join(shared, "bucket").select("node").distinct().collect()
+    assert {name[r.node] for r in met} == {lines[4], lines[6]}
+
+
 def test_fuzzy_lines_hard(hard_docs, no_docs):
     got = linededup.dedup_lines(hard_docs)
     assert set(hard_docs.columns) <= set(got.columns)
