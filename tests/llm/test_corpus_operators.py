@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -249,6 +250,26 @@ def test_simhash(spark):
     assert {name[r.node] for r in met} == {lines[4], lines[6]}
 
 
+def test_simhash_narrow(spark):
+    """Lanes of 8 bits give the SimHashes of lanes of 16, up to the most units that they hold."""
+    lines = [" ".join(f"w{n}x{i}" for i in range(n)) for n in (1, 2, 3, 64, 126, linededup.NARROW_LANE)] + ["same " * 126 + "same"]
+    table = spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "line string, spot long").select("line", F.length("line").alias("size"), "spot", F.xxhash64("line").alias("node"))
+    got, want = (sorted(linededup.simhashes(table, *lane).collect()) for lane in ((linededup.NARROW_LANE,), ()))
+    assert got == want and len(got) == len(lines)
+
+
+def test_fuzzy_lines_frees_tables(spark, make_docs):
+    """When lines are linked, no text and no bucket is left on disk."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("lines-*"))
+    base = " ".join(f"word{i}" for i in range(30))
+    docs = make_docs([base.replace(f"word{i} ", "other ") + f"\nshort line {i}" for i in range(1, 15)])
+    assert sum(r.n_lines - r.n_kept_lines for r in linededup.dedup_lines(docs).collect()) >= 13
+    (root,) = set(shared.glob("lines-*")) - before
+    columns = set().union(*(spark.read.parquet(f"file://{t}").columns for t in root.glob("t*")))
+    assert "line_no" in columns and not columns & {"line", "form", "size", "bucket", "rep"}
+
+
 def test_fuzzy_lines_hard(hard_docs, no_docs):
     got = linededup.dedup_lines(hard_docs)
     assert set(hard_docs.columns) <= set(got.columns)
