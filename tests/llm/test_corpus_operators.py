@@ -270,6 +270,17 @@ def test_fuzzy_lines_frees_tables(spark, make_docs):
     assert "line_no" in columns and not columns & {"line", "form", "size", "bucket", "rep"}
 
 
+def test_fuzzy_lines_large_group(spark, make_docs, monkeypatch):
+    """What the first choices of bits have joined is not read again for the others: rows of large buckets follow a pass of choices, not all."""
+    given = []
+    monkeypatch.setattr(linededup, "link", lambda members, *a, **k: given.append(members.count()) or linking.link(members, *a, **k))
+    base = [f"word{i}" for i in range(40)]
+    lines = [" ".join(base[:i] + ["other"] + base[i + 1 :]) for i in range(40)]
+    labels = linededup.group_lines(make_docs(lines), Scratch(spark, "t"))[1].collect()
+    assert len(labels) == 40 and len({r.comp for r in labels}) == 1
+    assert 0 < sum(given) <= linededup.PASS * 40
+
+
 def test_fuzzy_lines_hard(hard_docs, no_docs):
     got = linededup.dedup_lines(hard_docs)
     assert set(hard_docs.columns) <= set(got.columns)
