@@ -250,6 +250,21 @@ def test_simhash(spark):
     assert {name[r.node] for r in met} == {lines[4], lines[6]}
 
 
+def test_simhash_keys_of_large_tables(spark):
+    """With keys as long as 28 million lines need (6 GB), a line has few of them, and near lines still share one."""
+    bits = linededup.key_bits(28_000_000)
+    assert linededup.n_tables(bits) <= 40
+    rng = random.Random(25)
+    lines = []
+    for _ in range(200):
+        base = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(30)]
+        lines += [" ".join(base), " ".join("changed" if i in (4, 17) else w for i, w in enumerate(base))]
+    table = spark.createDataFrame([(x, i, i // 2) for i, x in enumerate(lines)], "line string, spot long, pair long").select("line", F.length("line").alias("size"), "spot", F.xxhash64("line").alias("node"), "pair")
+    keys = linededup.sim_keys(linededup.simhashes(table), bits).join(table.select("node", "pair"), "node")
+    met = keys.groupBy("bucket").agg(F.count_distinct("node").alias("n"), F.count_distinct("pair").alias("pairs"), F.min("pair").alias("pair")).where("n > 1").collect()
+    assert all(r.pairs == 1 for r in met) and len({r.pair for r in met}) >= 190
+
+
 def test_simhash_narrow(spark):
     """Lanes of 8 bits give the SimHashes of lanes of 16, up to the most units that they hold."""
     lines = [" ".join(f"w{n}x{i}" for i in range(n)) for n in (1, 2, 3, 64, 126, linededup.NARROW_LANE)] + ["same " * 126 + "same"]
