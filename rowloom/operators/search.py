@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.primitives import varint_length
 
+WHITE = "[ \t\r\n]+"
+
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """term, doc_id, position: parts between ASCII white space; empty parts keep their number but are dropped."""
-    parts = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "[ \t\r\n]+")).alias("position", "term"))
+    parts = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, WHITE)).alias("position", "term"))
     return parts.where("term <> ''").select("term", "doc_id", F.col("position").cast("long").alias("position"))
 
 
@@ -23,6 +25,32 @@ def build_postings(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("term", "doc_id").agg(F.array_sort(F.collect_set("position")).alias("positions"))
 
 
+def document_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The postings of ``tokenize`` and ``build_postings``, made within each row: no token is shuffled.
+
+    A document's tokens are sorted by term and position and cut where the term changes. Only
+    documents of several rows have their tokens grouped. Whether there are any is told by the ids, here and now.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    several = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id"))
+    if several.isEmpty():
+        return _row_postings(docs)
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    return _row_postings(docs.join(several, same, "left_anti")).unionByName(build_postings(tokenize(docs.join(several, same, "left_semi"))))
+
+
+def _row_postings(docs: DataFrame) -> DataFrame:
+    tokens = F.sort_array(F.transform(F.split("text", WHITE), lambda t, i: F.struct(t.alias("term"), i.cast("long").alias("position"))))
+    # An array of one element names a value, so that it is computed once.
+    named = lambda value, f: F.transform(F.array(value), f)[0]
+    starts = lambda terms: F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
+    parts = named(tokens, lambda s: F.struct(s["term"].alias("terms"), s["position"].alias("positions")))
+    cut = named(parts, lambda g: F.struct(g["terms"].alias("terms"), g["positions"].alias("positions"), starts(g["terms"]).alias("starts")))
+    one = lambda g, i, k: F.struct(F.get(g["terms"], i).alias("term"), F.slice(g["positions"], i + 1, F.coalesce(F.get(g["starts"], k + 1), F.size(g["positions"])) - i).alias("positions"))
+    found = named(cut, lambda g: F.transform(g["starts"], lambda i, k: one(g, i, k)))
+    return docs.select("doc_id", F.inline(F.filter(found, lambda p: p["term"] != ""))).select("term", "doc_id", "positions")
+
+
 def write_index(postings: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Range-partitioned by (term, doc_id): a term with very many documents takes several files."""
     postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(path)

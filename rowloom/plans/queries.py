@@ -486,7 +486,7 @@ POSTINGS = f"(SELECT term, doc_id, list_sort(list(position)) AS positions FROM {
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.build_postings(search.tokenize(table(spark, sf_dir, "documents")))
+    return search.document_postings(table(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT * FROM {POSTINGS}")

@@ -302,6 +302,20 @@ def test_skip_table(spark):
         search.skip_table(spark.createDataFrame(rows, "term string, doc_id long, positions array<long>"), 0)
 
 
+DOCS = [(1, "a b a\tb  c"), (2, " lead and tail \n"), (3, ""), (4, None), (5, "é 漢 é a"), (None, "no id no"), (7, "x " * 500)]
+
+
+@pytest.mark.parametrize("more", [[], [(1, "b of another row"), (None, "no")]])
+def test_document_postings(spark, more):
+    """As the tokens grouped; documents of one row are not shuffled."""
+    docs = spark.createDataFrame(DOCS + more, "doc_id long, text string")
+    got, want = search.document_postings(docs), search.build_postings(search.tokenize(docs))
+    assert got.dtypes == want.dtypes
+    rows = lambda df: sorted((r.term, r.doc_id or 0, r.positions) for r in df.collect())
+    assert rows(got) == rows(want) and len(rows(got)) > 10
+    assert more or "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("line", ["fox 1", "fox x 1", "fox 1 1,,2", "fox 1 -1"])
 def test_postings_reject(spark, line):
     with pytest.raises(PySparkException, match="invalid posting"):
