@@ -10,8 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.primitives import varint_length
+from .layout import held
 
 WHITE = "[ \t\r\n]+"
+#: Up to so many hashes of repeated postings (8 bytes each) are broadcast; beyond, they are joined.
+SENT_HASHES = 1_000_000
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,8 +62,13 @@ def write_index(postings: DataFrame, path: str, mode: str = "errorifexists") ->
 def check_postings(postings: DataFrame) -> DataFrame:
     """Faulty rows: empty terms, repeated documents of a term, positions that don't increase."""
     ascending = F.coalesce(F.array_distinct(F.array_sort("positions")) == F.col("positions"), F.lit(False))
+    # Of all postings, hashes alone are shuffled; those that occur again tell which rows may be repeated.
+    hashed = postings.select(F.xxhash64("term", "doc_id").alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = held(hashed.select("_h", F.lit(True).alias("_again")))
+    again = F.broadcast(again) if again.count() <= SENT_HASHES else again
+    may = postings.withColumn("_h", F.xxhash64("term", "doc_id")).join(again, "_h", "left").where((F.col("term") == "") | F.col("_again") | ~ascending)
     repeated = F.count(F.lit(1)).over(W.partitionBy("term", "doc_id")) > 1
-    return postings.withColumn("_r", repeated).where((F.col("term") == "") | F.col("_r") | ~ascending).drop("_r")
+    return may.withColumn("_r", repeated).where((F.col("term") == "") | F.col("_r") | ~ascending).select(*postings.columns)
 
 
 def dictionary(postings: DataFrame) -> DataFrame:

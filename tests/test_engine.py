@@ -316,6 +316,17 @@ def test_document_postings(spark, more):
     assert more or "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("most", [10, 0])
+def test_posting_faults_shuffle(spark, monkeypatch, most):
+    """Repeated postings are found, and no positions but those of rows that may be faulty are shuffled."""
+    monkeypatch.setattr(search, "SENT_HASHES", most)
+    rows = [("a", 1, [0, 2]), ("a", 1, [5]), ("a", 2, [1]), ("", 2, [0]), ("b", 2, [3, 1]), ("b", 3, [4, 4]), ("c", 3, []), ("c", None, [1]), ("c", None, [2])]
+    index = spark.createDataFrame(rows, "term string, doc_id long, positions array<long>")
+    faults = search.check_postings(index)
+    assert sorted((r.term, r.doc_id or 0, r.positions) for r in faults.collect()) == [("", 2, [0]), ("a", 1, [0, 2]), ("a", 1, [5]), ("b", 2, [3, 1]), ("b", 3, [4, 4]), ("c", 0, [1]), ("c", 0, [2])]
+    assert not most or "_again" in faults._jdf.queryExecution().optimizedPlan().toString().split("Window")[1]
+
+
 @pytest.mark.parametrize("line", ["fox 1", "fox x 1", "fox 1 1,,2", "fox 1 -1"])
 def test_postings_reject(spark, line):
     with pytest.raises(PySparkException, match="invalid posting"):
