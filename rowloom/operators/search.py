@@ -127,9 +127,11 @@ def skip_table(postings: DataFrame, step: int) -> DataFrame:
         raise ValueError("skip step must be positive")
     w = W.partitionBy("term").orderBy("doc_id")
     before = F.coalesce(F.lag("doc_id").over(w), F.lit(0))
+    # What the positions take is known before the window, so that they are not shuffled.
     gaps = F.transform("positions", lambda x, i: x - F.when(i == 0, F.lit(0)).otherwise(F.get("positions", i - 1)))
-    size = varint_length(F.col("doc_id") - before) + varint_length(F.size("positions").cast("long")) + F.aggregate(F.transform(gaps, varint_length), F.lit(0).cast("long"), lambda s, x: s + x)
-    ranked = postings.select("term", "doc_id", "positions", before.alias("previous_doc_id"), (F.row_number().over(w) - 1).cast("long").alias("ordinal"), size.alias("_size"))
+    inner = varint_length(F.size("positions").cast("long")) + F.aggregate(F.transform(gaps, varint_length), F.lit(0).cast("long"), lambda s, x: s + x)
+    size = varint_length(F.col("doc_id") - before) + F.col("_inner")
+    ranked = postings.select("term", "doc_id", inner.alias("_inner")).select("term", "doc_id", before.alias("previous_doc_id"), (F.row_number().over(w) - 1).cast("long").alias("ordinal"), size.alias("_size"))
     offset = F.coalesce(F.sum("_size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
     return ranked.withColumn("offset", offset).where(F.col("ordinal") % step == 0).select("term", "ordinal", F.col("doc_id").alias("first_doc_id"), "previous_doc_id", "offset")
 

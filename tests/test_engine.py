@@ -327,6 +327,13 @@ def test_posting_faults_shuffle(spark, monkeypatch, most):
     assert not most or "_again" in faults._jdf.queryExecution().optimizedPlan().toString().split("Window")[1]
 
 
+def test_skip_table_shuffle(spark):
+    """The window reads sizes, not positions."""
+    index = spark.createDataFrame([("t", 1, [0, 8, 12])], "term string, doc_id long, positions array<long>")
+    plan = search.skip_table(index, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "positions" not in plan.split("Exchange")[0]
+
+
 @pytest.mark.parametrize("line", ["fox 1", "fox x 1", "fox 1 1,,2", "fox 1 -1"])
 def test_postings_reject(spark, line):
     with pytest.raises(PySparkException, match="invalid posting"):
