@@ -17,6 +17,21 @@ from pyspark.sql import functions as F
 ROW_GROUP_ROWS = 1024
 BLOCK_ROWS, BLOCK_BYTES = 10_000, 8 << 20
 SEGMENT_BLOCKS, SEGMENT_BYTES = 1024, 64 << 20
+#: Bytes of rows, as they are in memory, that one task sorts.
+TASK_BYTES = 32 << 20
+
+
+def sort_tasks(df: DataFrame) -> int:
+    """Tasks that the rows need if each is to sort about ``TASK_BYTES``.
+
+    Left to itself, Spark joins small partitions by their compressed size, so that rows that
+    compress well meet in one task by the gigabyte.
+    """
+    width = {"string": F.octet_length, "binary": F.octet_length}
+    flat = lambda c, kind: width[kind](c) if kind in width else F.octet_length(F.to_json(F.struct(c))) if "<" in kind else F.lit(0)
+    row = sum((F.coalesce(flat(F.col(f"`{c}`"), kind), F.lit(0)) for c, kind in df.dtypes), F.lit(16 + 8 * len(df.columns)))
+    used = df.agg(F.sum(row.cast("long")).alias("used")).first()["used"] or 0
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-used // TASK_BYTES))
 
 
 def held(df: DataFrame) -> DataFrame:
@@ -38,22 +53,22 @@ def held(df: DataFrame) -> DataFrame:
 def with_row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataFrame:
     """Adds the contiguous index, by ``order`` if given, else in input order.
 
-    Ordered input is range-partitioned and sorted; then each partition's row count
+    Ordered input is range-partitioned, into as many partitions as its bytes need, and sorted; then each partition's row count
     gives its offset, counts and rows coming from one output (``held``). Plain scans are read twice
     instead: their partitions depend on the files alone. No stage has all rows in one
     task; what reaches the driver is a count per partition.
     """
     if order:
-        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        df = df.repartitionByRange(sort_tasks(df), *order).sortWithinPartitions(*order)
     if order or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         df = held(df)
     numbered = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     counts = sorted((r["_part"], r["n"]) for r in numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = [], 0
     for part, n in counts:
-        offsets += [F.lit(part), F.lit(total)]
+        offsets += [total] * (part + 1 - len(offsets))
         total += n
-    start = F.element_at(F.create_map(*offsets), F.col("_part")) if offsets else F.lit(0)
+    start = F.get(F.array(*map(F.lit, offsets)), F.col("_part")) if offsets else F.lit(0)
     return numbered.withColumn(name, (F.col("_at") + start).cast("long")).drop("_part", "_at")
 
 

@@ -240,6 +240,15 @@ def test_stored_tables(spark, tmp_path):
     assert storage.repair_plan(*storage.stored_blocks(spark, f"{tmp_path}/bare")).first().action == "RebuildFooter"
 
 
+def test_row_index_tasks(spark):
+    """Wide rows that compress well are sorted in as many tasks as their bytes need."""
+    wide = spark.range(40_000).select(F.col("id").alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 160).alias("wide"), F.array(F.lit(None).cast("string")).alias("more"))
+    got = layout.with_row_index(wide, "k")
+    parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) >= 5 and max(parts) <= 12_000
+    assert got.where("k = row_index").count() == 40_000
+
+
 def test_row_index_of_wide_rows(spark):
     """At Spark's default partition count, where small partitions are joined by size: the key alone and whole rows differ."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
