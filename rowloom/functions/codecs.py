@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from . import primitives as P
 
 DICTIONARY_ENTRIES = 4096
+#: Bytes of values (each a row of a sort, when run lengths are told) that one task takes.
+TASK_OCTETS = 1_000_000
 #: Candidates in the order in which ties are decided: fixed values.
 CANDIDATES = {"u64": ("delta_bitpack", "bitpack", "delta_varint_u64", "stored"), "string": ("prefix", "dictionary", "rle", "stored"), "bool": ("bitmap",)}
 #: Bytes of a column's metadata beside its name, codec metadata and statistics: fixed values.
@@ -195,8 +197,14 @@ def number_sizes(df: DataFrame, value: str, order: str = "row_index", group: str
 
 
 def string_sizes(df: DataFrame, value: str, order: str = "row_index", group: str = "row_group", cap: int = DICTIONARY_ENTRIES) -> DataFrame:
-    """Payload bytes per group by codec."""
+    """Payload bytes per group by codec.
+
+    Groups are dealt over as many tasks as the bytes of the values need: left to itself, Spark joins small
+    partitions by their compressed size, of which the single bytes take a few hundred times as much.
+    """
     w = W.partitionBy(group).orderBy(order)
+    octets = df.agg(F.sum(F.octet_length(value).cast("long") + 1).alias("n")).first()["n"] or 0
+    df = df.select(group, order, value).repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-octets // TASK_OCTETS)), group)
     size = F.octet_length("v").cast("long")
     rows = df.where(F.col(value).isNotNull()).select(group, order, F.col(value).alias("v"), F.lag(value).over(w).alias("before"))
     shared = prefix_length(F.col("before"), F.col("v"))

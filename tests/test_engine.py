@@ -2,6 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from rowloom.functions import codecs
 from rowloom.operators import evolution, layout, scan, search, stats, storage
 from rowloom.schema import dump_yaml, load_yaml, parse_schema
 from rowloom.sources import jsonl
@@ -281,6 +282,18 @@ def test_formats(spark, tmp_path):
             f()
 
 
+def test_string_sizes_tasks(spark, monkeypatch):
+    """Groups are dealt over as many tasks as their bytes need, however well they compress, and only once."""
+    monkeypatch.setattr(codecs, "TASK_OCTETS", 10_000, raising=False)
+    df = spark.range(20_000).selectExpr("id AS row_index", "id DIV 100 AS row_group", "IF(id % 7 = 0, NULL, concat('aa', id % 3)) AS v")
+    sizes = codecs.string_sizes(df, "v")
+    rows = sizes.collect()
+    assert len(rows) == 200 and sum(r.value_count for r in rows) == 17_142
+    plan = sizes._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert sizes.rdd.getNumPartitions() >= 7
+
+
 # search
 
 
